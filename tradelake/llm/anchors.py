@@ -199,3 +199,51 @@ def windows_of(df: DataFrame, width: int, unit: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("key", "ctx", "doc_id", "pos")), pa.array(start.astype(np.int32)), pa.array(window.view(np.int64))], names=["key", "ctx", "doc_id", "pos", "start", "window"])
 
     return df.select("key", "ctx", "doc_id", "pos", "lo", "content").mapInArrow(run, "key long, ctx long, doc_id long, pos long, start int, window long")
+
+
+def pieces_of(df: DataFrame, width: int, unit: str, size: int) -> DataFrame:
+    """Segments of crowded keys cut in pieces of at most `size` windows, dealt by far longer strings.
+
+    Pieces are aligned to the anchor, and the windows of one share all but size - 1 symbols (the core),
+    whose hash is the piece's key: pieces that meet agree in width - size + 1 symbols. key, ctx: of the
+    piece; whole_key, whole_ctx: of its segment; pos, lo: of the core's first symbol; base: its offset from the anchor.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                raw = part.column("content").to_pylist()
+                unit_bytes = 1 if unit == "byte" else 8
+                lengths = np.array([len(x) // unit_bytes for x in raw])
+                sym = np.frombuffer(b"".join(raw), np.uint8 if unit == "byte" else U)
+                rolling = t.Rolling(t.byte_symbols(sym) if unit == "byte" else sym)
+                at = np.cumsum(lengths) - lengths
+                lo = part.column("lo").to_numpy().astype(np.int64)
+                first, last = -lo, lengths - width - lo  # window starts, from the anchor
+                lowest, highest = first // size, last // size
+                count = highest - lowest + 1
+                row = np.repeat(np.arange(len(raw)), count)
+                q = lowest[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                begin, end = np.maximum(first[row], q * size), np.minimum(last[row], q * size + size - 1) + width
+                core = q * size + size - 1
+                origin = at[row] + lo[row]
+                key = rolling.ranges(origin + core, origin + q * size + width) ^ t.mix(q.view(U)) ^ t.mix(part.column("key").to_numpy().view(U)[row])
+                ctx = rolling.ranges(origin + begin, origin + end) ^ t.mix((core - begin).view(U))
+                own = sym.tobytes()
+                content = [own[a * unit_bytes : b * unit_bytes] for a, b in zip((origin + begin).tolist(), (origin + end).tolist(), strict=True)]
+                where = pa.array(row)
+                pos = part.column("pos").to_numpy()[row] + core
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), part.column("key").take(where), part.column("ctx").take(where), part.column("doc_id").take(where), pa.array(pos), pa.array((core - begin).astype(np.int32)), pa.array(core.astype(np.int32)), pa.array(content, pa.binary())],
+                    names=["key", "ctx", "whole_key", "whole_ctx", "doc_id", "pos", "lo", "base", "content"],
+                )
+
+    return df.select("key", "ctx", "doc_id", "pos", "lo", "content").mapInArrow(run, "key long, ctx long, whole_key long, whole_ctx long, doc_id long, pos long, lo int, base int, content binary")
+
+
+def distinct_pieces(pieces: DataFrame) -> DataFrame:
+    """Each content of each piece key once, at its first place: key, ctx, n (places), m (contents of the key), doc_id, pos, lo, content."""
+    each = pieces.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "lo", "content")).alias("at"))
+    many = pieces.groupBy("key").agg(F.count_distinct("ctx").alias("m"), F.count("*").alias("all")).where("all > 1")
+    return scratch.written(each.join(many, "key").select("key", "ctx", "n", "m", "at.*"))

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import anchors, scratch, textops as t
 
 GRAM = 5
+#: Windows in a piece of a segment whose key is crowded.
+PIECE = 4
 U = np.uint64
 
 
@@ -184,11 +186,22 @@ def repeated_words(docs: DataFrame, width: int = 20, gram: int = GRAM) -> DataFr
 
     texts = scratch.written(anchors.contents_of(docs, contents.where("m > 1"), "word"))
     found = anchors.by_key(texts.where(f"m <= {anchors.MOST_SEGMENTS}").select("key", "doc_id", "pos", "lo", "content"), search, "doc_id long, start long, end long")
-    # keys with more distinct segments are not gathered: their windows are compared by aggregation
-    crowded = anchors.windows_of(texts.where(f"m > {anchors.MOST_SEGMENTS}"), width, "word")
+    # keys with more distinct segments are dealt anew in pieces that share all but PIECE - 1 words of a window
+    pieces = scratch.written(anchors.pieces_of(texts.where(f"m > {anchors.MOST_SEGMENTS}"), width, "word", min(PIECE, width)))
+    each = anchors.distinct_pieces(pieces)
+    firsts = each.where("n > 1").select("key", "ctx", "doc_id", "pos")
+    begin = F.col("again.pos") - F.col("again.lo")
+    crowded_later = (
+        pieces.alias("again").join(firsts.alias("first"), ["key", "ctx"]).where(~first)
+        .select("again.doc_id", begin.alias("start"), (begin + F.octet_length("again.content") / 8).cast("long").alias("end"))
+    )
+    crowded_found = anchors.by_key(each.where(f"m > 1 and m <= {anchors.MOST_SEGMENTS}").select("key", "doc_id", "pos", "lo", "content"), search, "doc_id long, start long, end long")
+    # pieces of still more contents are not gathered: their windows are compared by aggregation
+    crowded = anchors.windows_of(each.where(f"m > {anchors.MOST_SEGMENTS}"), width, "word")
     crowded = crowded.withColumn("start", F.col("pos") + F.col("start")).select("key", "window", "doc_id", "start")
     firsts = crowded.groupBy("key", "window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     crowded = crowded.join(firsts, ["key", "window"]).where("struct(doc_id, start) > first").select("doc_id", "start", (F.col("start") + width).alias("end"))
+    crowded = crowded.unionByName(crowded_later).unionByName(crowded_found)
     return later.unionByName(found).unionByName(crowded)
 
 

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import anchors, scratch
 
 GRAM = 100
+#: Windows in a piece of a segment whose key is crowded.
+PIECE = 16
 
 
 def _common(rows: list[bytes], order: np.ndarray, same: np.ndarray, width: int) -> np.ndarray:
@@ -116,10 +118,18 @@ def repeats(docs: DataFrame, width: int = 400, gram: int = GRAM) -> DataFrame:
     texts = scratch.written(anchors.contents_of(docs, contents.where("m > 1"), "byte"))
     schema = "key long, ctx long, group long, start int, end int"
     found = anchors.by_key(texts.where(f"m <= {anchors.MOST_SEGMENTS}").select("key", "ctx", "lo", "content"), search, schema)
-    # keys with more distinct segments: the tree's nodes at depth `width` are equal windows, which aggregation finds without gathering them
-    crowded = anchors.windows_of(texts.where(f"m > {anchors.MOST_SEGMENTS}"), width, "byte")
+    # keys with more distinct segments are dealt anew in pieces that share all but PIECE - 1 bytes of a window
+    pieces = scratch.written(anchors.pieces_of(texts.where(f"m > {anchors.MOST_SEGMENTS}"), width, "byte", min(PIECE, width)))
+    each = anchors.distinct_pieces(pieces)
+    again_whole = each.where("n > 1").select("key", "ctx", F.col("ctx").alias("group"), (-F.col("lo")).alias("start"), (F.octet_length("content") - F.col("lo")).alias("end"))
+    again_found = anchors.by_key(each.where(f"m > 1 and m <= {anchors.MOST_SEGMENTS}").select("key", "ctx", "lo", "content"), search, schema)
+    # in pieces of still more contents, nodes of depth `width` are equal windows, which aggregation finds without gathering them
+    crowded = anchors.windows_of(each.where(f"m > {anchors.MOST_SEGMENTS}"), width, "byte")
     equal = crowded.groupBy("key", "window").count().where("count > 1")
     crowded = crowded.join(equal, ["key", "window"], "left_semi").select("key", "ctx", F.col("window").alias("group"), "start", (F.col("start") + width).alias("end"))
+    of_pieces = again_whole.unionByName(again_found).unionByName(crowded)
+    crowded = pieces.select("key", "ctx", "whole_key", "whole_ctx", "base").join(of_pieces, ["key", "ctx"])
+    crowded = crowded.select(F.col("whole_key").alias("key"), F.col("whole_ctx").alias("ctx"), "group", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
     spans = scratch.written(whole.unionByName(found).unionByName(crowded))
     return again.join(spans, ["key", "ctx"]).select("doc_id", (F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"), "group")
 
