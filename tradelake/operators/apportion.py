@@ -63,3 +63,25 @@ def running_split(df: DataFrame, group: Sequence[str], order: Sequence[str], bas
     before = F.coalesce(F.sum("_down").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = F.lead(F.lit(1)).over(ordered).isNull()
     return shared.withColumn(out, F.when(last, F.col(total) - before).otherwise(F.col("_down")).cast("long")).drop("_sum", "_down")
+
+
+def with_ceilings(df: DataFrame, group: Sequence[str], order: Sequence[str], basis: str, total: str, ceiling: str, out: str) -> DataFrame:
+    """As largest_remainder, where no share is over `ceiling`: what capped items leave goes to the others in proportion.
+
+    Items reach their ceilings in the order of ceiling over basis, so running sums tell which do, without passes.
+    A group whose ceilings can't take its total has no split: its shares are null.
+    """
+    every = Window.partitionBy(*group)
+    weighed = df.withColumn("_b", F.when(F.sum(_wide(basis)).over(every) > 0, F.col(basis)).otherwise(F.lit(1)).cast("decimal(18,0)"))
+    ordered = every.orderBy(F.try_divide(F.col(ceiling).cast("double"), F.col("_b").cast("double")).asc_nulls_last(), *order)
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    basis_left = F.sum("_b").over(every) - F.coalesce(F.sum("_b").over(before), F.lit(0))
+    total_left = F.col(total) - F.coalesce(F.sum(_wide(ceiling)).over(before), F.lit(0))
+    weighed = weighed.withColumn("_bl", basis_left.cast("decimal(18,0)")).withColumn("_tl", total_left.cast("decimal(18,0)"))
+    weighed = weighed.withColumn("_full", F.expr(f"cast({ceiling} as decimal(18,0)) * _bl < _b * _tl"))
+    room = F.sum(F.when(F.col("_b") > 0, _wide(ceiling))).over(every)
+    taken = F.coalesce(F.sum(F.when(F.col("_full"), _wide(ceiling))).over(every), F.lit(0))
+    weighed = weighed.withColumn("_room", room).withColumn("_rest_total", F.greatest(F.lit(0), F.col(total) - taken)).withColumn("_open", F.when(F.col("_full"), 0).otherwise(F.col("_b")))
+    split = largest_remainder(weighed, group, order, "_open", "_rest_total", "_split")
+    share = F.when(F.col("_room") < F.col(total), None).when(F.col("_full"), F.col(ceiling)).otherwise(F.col("_split"))
+    return split.withColumn(out, share.cast("long")).drop("_b", "_bl", "_tl", "_full", "_room", "_rest_total", "_open", "_split")

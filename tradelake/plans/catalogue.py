@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import allocation, operations, resolution, streams, text
+from . import allocation, gates, operations, resolution, streams, text
 
-GROUPS = (allocation, resolution, operations, streams, text)
+GROUPS = (allocation, gates, resolution, operations, streams, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
