@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, fm_dedup, license_scan, line_dedup, mixing, ngram_join, quality, suffix_dedup, toxicity
+from . import decontamination, embedding_dedup, fm_dedup, license_scan, line_dedup, mixing, ngram_join, quality, sql, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,4 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": license_scan.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op3_embedding_dedup": sql.EMBEDDING_DEDUP,
+        "op4_fm_dedup": sql.FM_DEDUP,
+        "op5_license_scan": license_scan.ORACLE_SQL,
+        "op6_line_dedup": line_dedup.ORACLE_SQL,
+        "op8_ngram_join": sql.NGRAM_JOIN,
+    }
