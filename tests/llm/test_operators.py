@@ -112,6 +112,24 @@ def test_ngram_join(docs, monkeypatch, most):
     assert {r.doc_id for r in ngram_join.kept(docs).collect()} == {k for k in sets if label[k] == k}
 
 
+def test_beginning_of_another_set():
+    random = np.random.default_rng(5)
+    for _ in range(200):
+        whole = [np.unique(random.integers(1, 1 << 62, n).astype(np.uint64)) for n in (2, 9, 130)]
+        sets = [w[:k] for w in whole for k in sorted({1, len(w) // 2, len(w) - 1, len(w)})]
+        tree = ngram_join.PrefixTree(sets)
+        for q in sets:
+            want = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 85 * len(np.union1d(q, s))}
+            assert set(tree.alike(q, 85, np.zeros(len(sets), bool)).tolist()) == want
+
+
+def test_beginning_of_another_text(spark):
+    random = np.random.default_rng(6)
+    texts = [[f"w{x}" for x in random.integers(0, 1 << 40, 5)] for _ in range(40)]
+    docs = [(2 * i + k, " ".join(t[: 4 + k])) for i, t in enumerate(texts) for k in (0, 1)]
+    assert {r.doc_id: r.component_id for r in ngram_join.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {i: i for i, _ in docs}
+
+
 def test_least_shared_is_safe():
     n = np.arange(0, 3000)
     spare, least = ngram_join.spare(n, 85), ngram_join.least_shared(n, 85)
