@@ -203,6 +203,36 @@ def test_decontamination(spark):
     assert got == {0: [0], 1: [1], 2: [], 3: [], 4: [], 5: [2], None: []}
 
 
+def test_decontamination_at_all_lengths(spark):
+    random = np.random.default_rng(8)
+    word = lambda: "".join(random.choice(list("abcdefghij"), 5))
+    sizes = [4, 7, 8, 15, 20, 28, 35, 60, 130, 300]
+    items = [[word() for _ in range(n)] for n in sizes]
+    docs, want = [], {}
+    for i, w in enumerate(items):
+        for at in (0, 3, 5, 7, 10, 13, 17, 20, 29):
+            for changed in (0.0, 0.3 if len(w) >= 8 else 0.5):
+                text = list(w)
+                for k in random.permutation(len(w) * 2 // 3)[: int(changed * len(w))]:
+                    text[k] = word()
+                want[len(docs)] = [] if changed and len(w) < 8 else [i]
+                docs.append((len(docs), " ".join([*(word() for _ in range(200 + at)), *text, *(word() for _ in range(150))])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontamination.digest(frame, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    assert {r.doc_id: list(r["items"]) for r in found.collect()} == want
+    # brute force over all stretches says the same
+    for key, text in docs:
+        own = decontamination.plain_words(text.encode())
+        for i, w in enumerate(items):
+            item = [x.encode() for x in w]
+            if len(w) < 8:
+                hit = any(own[k : k + len(w)] == item for k in range(len(own)))
+            else:
+                size = len(w) + max(4, len(w) // 4)
+                hit = len(set(own) & set(item)) >= 0.65 * len(w) and any(decontamination.common(item, own[k : k + size]) >= 0.65 * len(w) for k in range(max(1, len(own) - size + 1)))
+            assert hit == (i in want[key])
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
