@@ -67,3 +67,23 @@ def test_runs_over_whole_tables(spark, name):
     assert len(rows) > 100
     if name == "xml_struct":
         assert all(r["items"].startswith("<item>") and r["items"].rstrip().endswith("</item>") for r in rows)
+
+
+def test_subset_sums_of_many_totals(spark, tmp_path):
+    """As the reference: all single totals, and all sums of the 8 smallest distinct ones."""
+    r = random.Random(5)
+    orders, lines, want = [], [], {}
+    for key in range(120):
+        prices = [r.randrange(1000, 400_000) for _ in range(r.choice([3, 8, 9, 12, 17]))]
+        total = r.choice([r.choice(prices), sum(sorted(prices)[:6]), sum(sorted(prices)[-3:]), sum(prices)])
+        orders.append((key, total / 100))
+        lines += [(key, i, 1, 1, p / 100, 1.0, 0.0, 0.0, "N", "O") for i, p in enumerate(prices)]
+        small = sorted(set(prices))[:8]
+        sums = {sum(p for i, p in enumerate(small) if bits >> i & 1) for bits in range(1, 1 << len(small))} | set(prices)
+        want[key] = (len(set(prices)), any(abs(y - total) * 100 <= max(total * 2, 500) for y in sums))
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalogue.queries()["subset_sum_totals_gate"](spark, str(tmp_path))
+    assert {x.l_orderkey: (x.n_totals, x.matched) for x in got.collect()} == want
+    assert {m for n, m in want.values() if n > 8} == {True, False}
