@@ -23,8 +23,12 @@ U = np.uint64
 MOST_SEGMENTS = 256
 #: Most document ids that are broadcast (8 bytes each); beyond, documents are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Keys that hold more than one in so many rows are not dealt to one task.
+LARGE_KEYS = 2000
 
-SEGMENT_SCHEMA = "key long, ctx long, doc_id long, pos long, lo int, hi int"
+SEGMENT_SCHEMA = "key long, ctx long, doc_id long, sig long, pos long, lo int, hi int"
+#: A row of documents: its id, and a hash that tells rows of one id and different texts apart.
+ROW = ["doc_id", "sig"]
 
 
 def find(rolling: t.Rolling, bounds: np.ndarray, width: int, gram: int):
@@ -70,69 +74,85 @@ def symbols(unit: str, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, n
     return t.word_hashes(buf, starts, ends), bounds
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, sig, text (UTF-8; null: empty) of each row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+
+
 def segments(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
-    """One row for each segment of each text: key, ctx (hash of its content), doc_id, pos of the anchor, symbols before and from it.
+    """One row for each segment of each text: key, ctx (hash of its content), doc_id, sig, pos of the anchor, symbols before and from it.
 
     docs: doc_id, text. Null texts are empty; texts of under `width` symbols have no segment.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, _, buf, offs in t.slices(batch.column(1)):
+            for first, _, buf, offs in t.slices(batch.column("text")):
                 sym, bounds = symbols(unit, buf, offs)
                 rolling = t.Rolling(sym)
                 text, at, begin, end, key = find(rolling, bounds, width, gram)
                 if not len(text):
                     continue
-                ctx = rolling.ranges(begin, end) ^ t.mix((at - begin).astype(U))
-                columns = [key.view(np.int64), ctx.view(np.int64), ids.take(pa.array(first + text)), at - bounds[text], (at - begin).astype(np.int32), (end - at).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["key", "ctx", "doc_id", "pos", "lo", "hi"])
+                size = 1 if unit == "byte" else 8
+                ctx = t.digests(buf.tobytes() if unit == "byte" else sym.tobytes(), begin * size, end * size) ^ t.mix((at - begin).astype(U))
+                where = pa.array(first + text)
+                columns = [key.view(np.int64), ctx.view(np.int64), *(batch.column(c).take(where) for c in ROW), at - bounds[text], (at - begin).astype(np.int32), (end - at).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["key", "ctx", *ROW, "pos", "lo", "hi"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    return texts.where("doc_id is not null").mapInArrow(run, SEGMENT_SCHEMA)
+    return texts(docs).where("doc_id is not null").mapInArrow(run, SEGMENT_SCHEMA)
 
 
 def repeated(docs: DataFrame, unit: str, width: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """Segments whose anchor key stands more than once, and the distinct contents among them.
 
     The second has key, ctx, n (places), m (distinct contents of the key) and the first place
-    (doc_id, pos, lo, hi). Both are written tables.
+    (doc_id, sig, pos, lo, hi). Both are written tables.
     """
     every = scratch.written(segments(docs, unit, width, gram))
-    keys = every.groupBy("key").count().where("count > 1").select("key")
-    again = scratch.written(every.join(keys, "key", "left_semi"))
-    contents = again.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "lo", "hi")).alias("at"))
+    again = scratch.written(met_again(every))
+    contents = again.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "pos", "lo", "hi")).alias("at"))
     many = contents.groupBy("key").agg(F.count("*").alias("m"))
     contents = contents.join(many, "key").select("key", "ctx", "n", "m", "at.*").where("m > 1 or n > 1")
     return again, scratch.written(contents)
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def met_again(every: DataFrame) -> DataFrame:
+    """The rows of every (written) whose key stands more than once. Keys with many rows are met by broadcast, the others by a shuffle."""
+    counts = scratch.written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    # at most LARGE_KEYS keys can have so many of the rows each
+    large = counts.where(F.col("n") * LARGE_KEYS > rows).select("key")
+    hot = every.join(F.broadcast(large), "key", "left_semi")
+    rest = every.join(F.broadcast(large), "key", "left_anti").join(counts.select("key"), "key", "left_semi")
+    return hot.unionByName(rest)
+
+
+def only(docs: DataFrame, ids: DataFrame, on: str | list[str] = "doc_id") -> DataFrame:
     """The rows of docs whose doc_id is in ids (distinct): by broadcast where the ids are few, else by a shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
 
 
 def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """docs left-joined to lists (one row for each doc_id, written), moving the texts of only those that have one where that is possible."""
+    """docs left-joined to lists (one row for each doc_id and sig, written), moving the texts of only those that have one where that is possible."""
     if lists.count() > BROADCAST_IDS:
-        return docs.join(lists, "doc_id", "left")
-    ids = F.broadcast(lists.select("doc_id"))
-    none = docs.join(ids, "doc_id", "left_anti")
-    for field in lists.schema.fields[1:]:
+        return docs.join(lists, ROW, "left")
+    ids = F.broadcast(lists.select(*ROW))
+    none = docs.join(ids, ROW, "left_anti")
+    for field in lists.schema.fields[len(ROW) :]:
         none = none.withColumn(field.name, F.lit(None).cast(field.dataType))
-    return docs.join(ids, "doc_id", "left_semi").join(lists, "doc_id").unionByName(none)
+    return docs.join(ids, ROW, "left_semi").join(lists, ROW).unionByName(none)
 
 
 def contents_of(docs: DataFrame, chosen: DataFrame, unit: str) -> DataFrame:
     """chosen with `content`: the bytes of the segment, or its words' 64-bit hashes.
 
-    chosen: key, ctx, doc_id, pos, lo, hi and more. The list for one document is no longer than its text.
+    chosen: key, ctx, doc_id, sig, pos, lo, hi and more. The list for one row is no longer than its text.
+    Rows equal in id and text give their contents each.
     """
-    others = [c for c in chosen.columns if c != "doc_id"]
-    lists = scratch.written(chosen.groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("items")))
-    texts = only(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")), lists.select("doc_id"))
-    schema = f"doc_id long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in chosen.schema.fields if f.name != 'doc_id')}, content binary"
+    others = [c for c in chosen.columns if c not in ROW]
+    lists = scratch.written(chosen.groupBy(*ROW).agg(F.collect_list(F.struct(*others)).alias("items")))
+    own = only(texts(docs), lists.select(*ROW), ROW)
+    schema = f"doc_id long, sig long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in chosen.schema.fields if f.name not in ROW)}, content binary"
     size = 1 if unit == "byte" else 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,12 +166,12 @@ def contents_of(docs: DataFrame, chosen: DataFrame, unit: str) -> DataFrame:
                 flat = items.flatten()
                 pos, lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "lo", "hi"))
                 begin, end = (bounds[text] + pos - lo) * size, (bounds[text] + pos + hi) * size
-                ids = batch.column("doc_id").slice(first, last - first).take(pa.array(text))
+                ids = [batch.column(c).slice(first, last - first).take(pa.array(text)) for c in ROW]
                 for i in range(0, len(text), 5000):
                     content = pa.array([raw[b:e] for b, e in zip(begin[i : i + 5000].tolist(), end[i : i + 5000].tolist(), strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([ids[i : i + 5000], *(flat.field(c)[i : i + 5000] for c in others), content], names=["doc_id", *others, "content"])
+                    yield pa.RecordBatch.from_arrays([*(x[i : i + 5000] for x in ids), *(flat.field(c)[i : i + 5000] for c in others), content], names=[*ROW, *others, "content"])
 
-    return texts.join(lists, "doc_id").select("doc_id", "text", "items").mapInArrow(run, schema)
+    return own.join(lists, ROW).select(*ROW, "text", "items").mapInArrow(run, schema)
 
 
 def by_key(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -179,26 +199,25 @@ def by_key(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def windows_of(df: DataFrame, width: int, unit: str) -> DataFrame:
-    """Every window of the segments in df (with content): key, ctx, doc_id, pos, start (from the anchor), window (its hash)."""
+    """Every window of the segments in df (with content): key, ctx, doc_id, sig, pos, start (from the anchor), window (its hash)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = 2000
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
-                raw = [np.frombuffer(x, np.uint8 if unit == "byte" else U) for x in part.column("content").to_pylist()]
-                lengths = np.array([len(x) for x in raw])
-                sym = np.concatenate(raw)
-                rolling = t.Rolling(t.byte_symbols(sym) if unit == "byte" else sym)
+                raw = part.column("content").to_pylist()
+                size = 1 if unit == "byte" else 8
+                lengths = np.array([len(x) // size for x in raw])
                 counts = lengths - width + 1
                 row = np.repeat(np.arange(len(raw)), counts)
                 offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
                 begin = np.repeat(np.cumsum(lengths) - lengths, counts) + offset
                 start = offset - part.column("lo").to_numpy()[row]
-                window = rolling.ranges(begin, begin + width) ^ t.mix(start.astype(np.int64).view(U))
+                window = t.digests(b"".join(raw), begin * size, (begin + width) * size) ^ t.mix(start.astype(np.int64).view(U))
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("key", "ctx", "doc_id", "pos")), pa.array(start.astype(np.int32)), pa.array(window.view(np.int64))], names=["key", "ctx", "doc_id", "pos", "start", "window"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("key", "ctx", *ROW, "pos")), pa.array(start.astype(np.int32)), pa.array(window.view(np.int64))], names=["key", "ctx", *ROW, "pos", "start", "window"])
 
-    return df.select("key", "ctx", "doc_id", "pos", "lo", "content").mapInArrow(run, "key long, ctx long, doc_id long, pos long, start int, window long")
+    return df.select("key", "ctx", *ROW, "pos", "lo", "content").mapInArrow(run, "key long, ctx long, doc_id long, sig long, pos long, start int, window long")
 
 
 def pieces_of(df: DataFrame, width: int, unit: str, size: int) -> DataFrame:
@@ -229,21 +248,21 @@ def pieces_of(df: DataFrame, width: int, unit: str, size: int) -> DataFrame:
                 core = q * size + size - 1
                 origin = at[row] + lo[row]
                 key = rolling.ranges(origin + core, origin + q * size + width) ^ t.mix(q.view(U)) ^ t.mix(part.column("key").to_numpy().view(U)[row])
-                ctx = rolling.ranges(origin + begin, origin + end) ^ t.mix((core - begin).view(U))
                 own = sym.tobytes()
+                ctx = t.digests(own, (origin + begin) * unit_bytes, (origin + end) * unit_bytes) ^ t.mix((core - begin).view(U))
                 content = [own[a * unit_bytes : b * unit_bytes] for a, b in zip((origin + begin).tolist(), (origin + end).tolist(), strict=True)]
                 where = pa.array(row)
                 pos = part.column("pos").to_numpy()[row] + core
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), part.column("key").take(where), part.column("ctx").take(where), part.column("doc_id").take(where), pa.array(pos), pa.array((core - begin).astype(np.int32)), pa.array(core.astype(np.int32)), pa.array(content, pa.binary())],
-                    names=["key", "ctx", "whole_key", "whole_ctx", "doc_id", "pos", "lo", "base", "content"],
+                    [pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), part.column("key").take(where), part.column("ctx").take(where), *(part.column(c).take(where) for c in ROW), pa.array(pos), pa.array((core - begin).astype(np.int32)), pa.array(core.astype(np.int32)), pa.array(content, pa.binary())],
+                    names=["key", "ctx", "whole_key", "whole_ctx", *ROW, "pos", "lo", "base", "content"],
                 )
 
-    return df.select("key", "ctx", "doc_id", "pos", "lo", "content").mapInArrow(run, "key long, ctx long, whole_key long, whole_ctx long, doc_id long, pos long, lo int, base int, content binary")
+    return df.select("key", "ctx", *ROW, "pos", "lo", "content").mapInArrow(run, "key long, ctx long, whole_key long, whole_ctx long, doc_id long, sig long, pos long, lo int, base int, content binary")
 
 
 def distinct_pieces(pieces: DataFrame) -> DataFrame:
-    """Each content of each piece key once, at its first place: key, ctx, n (places), m (contents of the key), doc_id, pos, lo, content."""
-    each = pieces.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "lo", "content")).alias("at"))
+    """Each content of each piece key once, at its first place: key, ctx, n (places), m (contents of the key), doc_id, sig, pos, lo, content."""
+    each = pieces.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "pos", "lo", "content")).alias("at"))
     many = pieces.groupBy("key").agg(F.count_distinct("ctx").alias("m"), F.count("*").alias("all")).where("all > 1")
     return scratch.written(each.join(many, "key").select("key", "ctx", "n", "m", "at.*"))

@@ -9,7 +9,8 @@ order tells. These matching statistics skip every window that holds a failed mat
 `width` words is followed to the right in the text.
 
 Results for unusual input: null texts count as empty; texts of fewer than `width` words are kept
-whole. Of equal rows, or rows with one doc_id, the first place (by doc_id, then position) is kept.
+whole. The first place is kept (by doc_id, among rows of one id by a hash of the text, then by position);
+rows equal in id and text are one document in this and are kept alike.
 Rows with a null doc_id are neither compared nor changed. Further columns are ignored.
 """
 
@@ -154,61 +155,65 @@ def earlier_windows(keys: np.ndarray, lengths: np.ndarray, words: np.ndarray, pl
 
 
 def repeated_words(docs: DataFrame, width: int = 20, gram: int = GRAM) -> DataFrame:
-    """doc_id, start, end (words): spans of windows of `width` words that also start at an earlier place.
+    """doc_id, sig, start, end (words): spans of windows of `width` words that also start at an earlier place.
 
     docs: doc_id, text. Places are ordered by doc_id, then position.
     """
     again, contents = anchors.repeated(docs, "word", width, min(gram, width))
-    first = F.col("again.doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("again.pos").eqNullSafe(F.col("first.pos"))
+    first = F.expr(" and ".join(f"again.{c} = first.{c}" for c in [*anchors.ROW, "pos"]))
     later = (
-        again.alias("again").join(contents.where("n > 1").select("key", "ctx", "doc_id", "pos").alias("first"), ["key", "ctx"])
+        again.alias("again").join(contents.where("n > 1").select("key", "ctx", *anchors.ROW, "pos").alias("first"), ["key", "ctx"])
         .where(~first)
-        .select("again.doc_id", (F.col("again.pos") - F.col("again.lo")).alias("start"), (F.col("again.pos") + F.col("again.hi")).alias("end"))
+        .select("again.doc_id", "again.sig", (F.col("again.pos") - F.col("again.lo")).alias("start"), (F.col("again.pos") + F.col("again.hi")).alias("end"))
     )
 
     def search(table: pa.Table):
+        places = np.stack([table.column(c).to_numpy() for c in ["key", *anchors.ROW, "pos"]])
+        table = table.take(pa.array(np.sort(np.unique(places, axis=1, return_index=True)[1])))  # equal rows of one id are one place
         content = table.column("content").to_pylist()
         lengths = np.array([len(c) // 8 for c in content], np.int64)
-        doc, pos = table.column("doc_id").to_numpy(), table.column("pos").to_numpy()
+        doc, sig, pos = (table.column(c).to_numpy() for c in [*anchors.ROW, "pos"])
         place = np.empty(len(doc), np.int64)
-        place[np.lexsort((pos, doc))] = np.arange(len(doc))
+        place[np.lexsort((pos, sig, doc))] = np.arange(len(doc))
         found = earlier_windows(table.column("key").to_numpy(), lengths, np.frombuffer(b"".join(content), U), place, width)
         base = pos - table.column("lo").to_numpy()
-        out_doc, out_start, out_end = [], [], []
+        out_row, out_start, out_end = [], [], []
         for i, starts in enumerate(found):
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) > 1)
                 heads, tails = starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)]
-                out_doc += [doc[i]] * len(heads)
+                out_row += [i] * len(heads)
                 out_start += (base[i] + heads).tolist()
                 out_end += (base[i] + tails + width).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_start, pa.int64()), pa.array(out_end, pa.int64())], names=["doc_id", "start", "end"])
+        row = np.array(out_row, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(sig[row]), pa.array(out_start, pa.int64()), pa.array(out_end, pa.int64())], names=[*anchors.ROW, "start", "end"])
+
+    schema = "doc_id long, sig long, start long, end long"
 
     texts = scratch.written(anchors.contents_of(docs, contents.where("m > 1"), "word"))
-    found = anchors.by_key(texts.where(f"m <= {anchors.MOST_SEGMENTS}").select("key", "doc_id", "pos", "lo", "content"), search, "doc_id long, start long, end long")
+    found = anchors.by_key(texts.where(f"m <= {anchors.MOST_SEGMENTS}").select("key", *anchors.ROW, "pos", "lo", "content"), search, schema)
     # keys with more distinct segments are dealt anew in pieces that share all but PIECE - 1 words of a window
     pieces = scratch.written(anchors.pieces_of(texts.where(f"m > {anchors.MOST_SEGMENTS}"), width, "word", min(PIECE, width)))
     each = anchors.distinct_pieces(pieces)
-    firsts = each.where("n > 1").select("key", "ctx", "doc_id", "pos")
+    firsts = each.where("n > 1").select("key", "ctx", *anchors.ROW, "pos")
     begin = F.col("again.pos") - F.col("again.lo")
     crowded_later = (
         pieces.alias("again").join(firsts.alias("first"), ["key", "ctx"]).where(~first)
-        .select("again.doc_id", begin.alias("start"), (begin + F.octet_length("again.content") / 8).cast("long").alias("end"))
+        .select("again.doc_id", "again.sig", begin.alias("start"), (begin + F.octet_length("again.content") / 8).cast("long").alias("end"))
     )
-    crowded_found = anchors.by_key(each.where(f"m > 1 and m <= {anchors.MOST_SEGMENTS}").select("key", "doc_id", "pos", "lo", "content"), search, "doc_id long, start long, end long")
+    crowded_found = anchors.by_key(each.where(f"m > 1 and m <= {anchors.MOST_SEGMENTS}").select("key", *anchors.ROW, "pos", "lo", "content"), search, schema)
     # pieces of still more contents are not gathered: their windows are compared by aggregation
     crowded = anchors.windows_of(each.where(f"m > {anchors.MOST_SEGMENTS}"), width, "word")
-    crowded = crowded.withColumn("start", F.col("pos") + F.col("start")).select("key", "window", "doc_id", "start")
-    firsts = crowded.groupBy("key", "window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    crowded = crowded.join(firsts, ["key", "window"]).where("struct(doc_id, start) > first").select("doc_id", "start", (F.col("start") + width).alias("end"))
+    crowded = crowded.withColumn("start", F.col("pos") + F.col("start")).select("key", "window", *anchors.ROW, "start")
+    firsts = crowded.groupBy("key", "window").agg(F.min(F.struct(*anchors.ROW, "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    crowded = crowded.join(firsts, ["key", "window"]).where("struct(doc_id, sig, start) > first").select(*anchors.ROW, "start", (F.col("start") + width).alias("end"))
     crowded = crowded.unionByName(crowded_later).unionByName(crowded_found)
     return later.unionByName(found).unionByName(crowded)
 
 
 def removed(docs: DataFrame, width: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words not removed, joined by one space), one row for each row of docs."""
-    spans = repeated_words(docs, width).select("doc_id", F.struct("start", "end").alias("span")).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    spans = repeated_words(docs, width).select(*anchors.ROW, F.struct("start", "end").alias("span")).groupBy(*anchors.ROW).agg(F.collect_set("span").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +233,7 @@ def removed(docs: DataFrame, width: int = 20) -> DataFrame:
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return anchors.with_lists(texts, scratch.written(spans)).select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
+    return anchors.with_lists(anchors.texts(docs), scratch.written(spans)).select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def digest(docs: DataFrame, width: int = 20) -> DataFrame:

@@ -10,7 +10,8 @@ together have `width` bytes. A node whose members agree in more than a descendan
 repeat with more occurrences. A repeat that spans several anchors comes out in overlapping parts.
 
 Results for unusual input: null texts count as empty, and a text shorter than `width` has no repeats.
-Equal rows repeat each other. Rows with a null doc_id are neither compared nor changed. Further
+Equal rows repeat each other; rows of one doc_id are texts of their own. Rows with a null doc_id are
+neither compared nor changed. Further
 columns of the input are ignored here.
 """
 
@@ -99,7 +100,7 @@ def maximal_repeats(keys: np.ndarray, lo: np.ndarray, contents: list[bytes], wid
 
 
 def repeats(docs: DataFrame, width: int = 400, gram: int = GRAM) -> DataFrame:
-    """doc_id, start, end (bytes), group: each occurrence of each maximal repeat of `width` bytes or more.
+    """doc_id, sig, start, end (bytes), group: each occurrence of each maximal repeat of `width` bytes or more.
 
     `group` is the hash of the repeated string. docs: doc_id, text.
     """
@@ -131,13 +132,12 @@ def repeats(docs: DataFrame, width: int = 400, gram: int = GRAM) -> DataFrame:
     crowded = pieces.select("key", "ctx", "whole_key", "whole_ctx", "base").join(of_pieces, ["key", "ctx"])
     crowded = crowded.select(F.col("whole_key").alias("key"), F.col("whole_ctx").alias("ctx"), "group", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"))
     spans = scratch.written(whole.unionByName(found).unionByName(crowded))
-    return again.join(spans, ["key", "ctx"]).select("doc_id", (F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"), "group")
+    return again.join(spans, ["key", "ctx"]).select(*anchors.ROW, (F.col("pos") + F.col("start")).alias("start"), (F.col("pos") + F.col("end")).alias("end"), "group")
 
 
 def removed(docs: DataFrame, width: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes that no repeat of `width` covers), one row for each row of docs."""
     spans = scratch.written(merged_lists(repeats(docs, width)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,12 +161,12 @@ def removed(docs: DataFrame, width: int = 400) -> DataFrame:
                     kept.append(np.frombuffer(text, np.uint8)[~covered].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return anchors.with_lists(texts, spans).select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return anchors.with_lists(anchors.texts(docs), spans).select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def merged_lists(spans: DataFrame) -> DataFrame:
-    """doc_id, spans: the distinct (start, end) of each document, unsorted."""
-    return spans.select("doc_id", F.struct("start", "end").alias("span")).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+    """doc_id, sig, spans: the distinct (start, end) of each row, unsorted."""
+    return spans.select(*anchors.ROW, F.struct("start", "end").alias("span")).groupBy(*anchors.ROW).agg(F.collect_set("span").alias("spans"))
 
 
 def digest(docs: DataFrame, width: int = 400) -> DataFrame:

@@ -11,12 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 SLICE_BYTES = 1 << 20
+SEED = 20240229
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
-_BASE, _RNG = U(0x9E3779B97F4A7C15), np.random.default_rng(20240229)
+_BASE, _RNG = U(0x9E3779B97F4A7C15), np.random.default_rng(SEED)
 _BYTE = _RNG.integers(1, 2**63, 256).astype(U) | U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -36,19 +38,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
+def _powers(base: U, n: int) -> np.ndarray:
+    out = np.full(n + 1, base)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+#: Powers of the base and of its inverse, kept for slices of the usual size.
+_KEPT: list[np.ndarray] = []
+
+
 class Rolling:
-    """Prefix sums of a polynomial over 64-bit symbols: the hash of any range in constant time."""
+    """Prefix sums of a polynomial over 64-bit symbols: the hash of any range in constant time.
+
+    Long ranges of crafted symbols can collide modulo 2 ** 64, so these hashes only deal texts out and
+    name short ranges of mixed symbols; `digests` decides on the equality of long strings.
+    """
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
-        power = np.full(n + 1, _BASE)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
+        if not _KEPT:
+            _KEPT[:] = [_powers(b, SLICE_BYTES) for b in (_BASE, _BASE_INV)]
+        power, inverse = _KEPT if n <= SLICE_BYTES else [_powers(b, n) for b in (_BASE, _BASE_INV)]
         self.prefix = np.zeros(n + 1, U)
         np.cumsum(symbols * power[:n], out=self.prefix[1:])
-        inverse = np.full(n + 1, _BASE_INV)
-        inverse[0] = 1
-        self.inverse = np.multiply.accumulate(inverse)
+        self.inverse = inverse[: n + 1]
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
@@ -103,5 +117,28 @@ def byte_symbols(buf: np.ndarray) -> np.ndarray:
     return _BYTE[buf]
 
 
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 64-bit XXH3 of each range of bytes."""
+    view = memoryview(raw)
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), U, len(starts))
+
+
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U)
+#: Words of more bytes are hashed one by one.
+_LONG = 24
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Rolling(_BYTE[buf]).ranges(starts, ends)
+    """A 64-bit hash of each word: its length, then eight bytes at a time, mixed in turn; XXH3 for long words."""
+    size = ends - starts
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    out = mix(size.astype(U) * _BASE + U(SEED))
+    for k in range(0, _LONG, 8):
+        live = np.flatnonzero(size > k) if k else slice(None)
+        left = np.minimum(size[live] - k, 8)
+        out[live] = mix((out[live] ^ (eight[starts[live] + k] & _LOW_BYTES[left])) * _BASE)
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        out[long] = digests(buf.tobytes(), starts[long], ends[long])
+    return out
