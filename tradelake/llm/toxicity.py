@@ -1,12 +1,14 @@
 """Toxicity by compression distance: each window of words is compressed with two zstandard dictionaries.
 
-The ordinary dictionary is trained on ordinary labelled text. The toxic one has the same content and
-before it the strings that toxic texts hold far more often than ordinary ones, the commonest nearest;
-what both share costs the same, so the difference of the two compressed lengths of a window tells how
-much of it only toxic text explains. The differences' mean, largest and shares above thresholds go
-through a calibration fitted on labelled rows that trained neither dictionary.
-
-Learning takes at most SAMPLE rows of each class; dictionaries are some kB and go to each task with
+One dictionary is trained on ordinary labelled text, the other on what toxic labelled texts hold and
+ordinary ones don't (the spans of their words that are far more frequent there). A window is compressed
+with the content of the ordinary dictionary, and with that of the toxic one laid before it, so that what
+both kinds of text share costs the same and the difference of the two lengths tells how much of the
+window only toxic text explains. Windows are too short for a dictionary's entropy tables, which are left
+out. The differences' mean, largest and shares above thresholds go through a calibration fitted on
+labelled rows that trained neither dictionary.
+
+Learning takes at most SAMPLE rows of each class, of texts up to 64 KB; dictionaries are some kB and go to each task with
 the function. Scoring reads whole texts.
 
 Results for unusual input: null and blank texts have no window and score as a text of no difference.
@@ -31,6 +33,8 @@ from . import labelled, textops as t
 SAMPLE = 1500
 WINDOW, STEP = 10, 9
 ORDINARY_BYTES, TOXIC_BYTES = 2048, 1024
+#: Lengths of the grams by which toxic spans are told, and how frequent such grams are.
+SIZES, SHARE, RATIO = (4, 5, 6, 8), 0.02, 12
 THRESHOLD = 0.3
 
 
@@ -51,45 +55,50 @@ def _grams(text: bytes) -> set[bytes]:
     out: set[bytes] = set()
     for word in set(text.split()):
         word = b" " + word
-        for n in (4, 5, 6, 8):
+        for n in SIZES:
             out.update(word[i : i + n] for i in range(len(word) - n + 1))
     return out
 
 
-def _marks(texts: list[bytes], have: dict[int, Counter], toxic: int, ordinary: int) -> list[bytes]:
-    """Strings for the toxic dictionary, the most telling first.
-
-    Each next one stands in the most toxic texts, where a text counts half as much for each string
-    that it has already; a longer string around it that is as frequent takes its place.
-    """
-    found = [g for g, k in have[1].items() if k >= max(4, toxic * 0.02) and k / toxic > 12 * (have[0][g] + 0.5) / ordinary]
-    found.sort(key=lambda g: (-have[1][g], g))
-    found = found[:4000]
-    where = {g: i for i, g in enumerate(found)}
-    inside = np.zeros((len(found), toxic), np.float32)
-    for j, x in enumerate(texts):
-        for g in _grams(x) & where.keys():
-            inside[where[g], j] = 1
-    weight = np.ones(toxic, np.float32)
-    open_, out, size = np.ones(len(found), bool), [], 0
-    while open_.any() and size < TOXIC_BYTES:
-        gain = np.where(open_, inside @ weight, -1)
-        best = int(gain.argmax())
-        if gain[best] < max(1.0, toxic * 0.008):
-            break
-        longer = [g for g in found if found[best] in g and have[1][g] >= 0.85 * have[1][found[best]]]
-        mark = max(longer, key=lambda g: (len(g), have[1][g], g))
-        out.append(mark)
-        size += len(mark) + 1
-        weight *= np.where(inside[best] > 0, 0.5, 1)
-        parts = {mark[i : i + 4] for i in range(len(mark) - 3)}
-        for i, g in enumerate(found):
-            if open_[i] and any(g[k : k + 4] in parts for k in range(len(g) - 3)):
-                open_[i] = False
-        open_[best] = False
+def telling(have: dict[int, Counter], toxic: int, ordinary: int) -> set[bytes]:
+    """Grams in at least SHARE of the toxic texts, RATIO times as often as in ordinary ones."""
+    return {g for g, k in have[1].items() if k >= max(4, toxic * SHARE) and k / toxic > RATIO * (have[0][g] + 0.5) / ordinary}
+
+
+def excerpts(texts: list[bytes], grams: set[bytes]) -> list[bytes]:
+    """The spans of each text's words that these grams cover, one to a line; texts without any are left out."""
+    known: dict[bytes, list[bytes]] = {}
+
+    def spans(word: bytes) -> list[bytes]:
+        word = b" " + word
+        covered = bytearray(len(word) + 1)
+        for n in SIZES:
+            for i in range(len(word) - n + 1):
+                if word[i : i + n] in grams:
+                    covered[i : i + n] = b"\1" * n
+        edges = [i for i in range(len(word) + 1) if covered[i] != (covered[i - 1] if i else 0)]
+        return [word[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+    out = []
+    for x in texts:
+        found = []
+        for word in x.split():
+            if word not in known:
+                known[word] = spans(word)
+            found += known[word]
+        if found:
+            out.append(b"\n".join(found))
     return out
 
 
+def content(texts: list[bytes], size: int) -> bytes:
+    """The content of a dictionary trained on the texts: its last `size` bytes, the most useful ones, after its tables."""
+    try:
+        return zstandard.train_dictionary(2 * size, texts).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too little text to train on
+        return b"\n".join(texts)[-size:]
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -154,17 +163,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
         return Model(b"", b"", [], rate)
     train = {y: x[: max(2, len(x) * 2 // 3)] for y, x in two.items()}
     have = {y: Counter(g for x in train[y] for g in _grams(x)) for y in (0, 1)}
-    toxic, ordinary = len(train[1]), len(train[0])
-    before = b"".join(g + b"\n" for g in reversed(_marks(train[1], have, toxic, ordinary)))
+    grams = telling(have, len(train[1]), len(train[0]))
     pieces = []
     for x in train[0]:
         words = x.split()
         pieces += [b" ".join(words[i : i + 40]) for i in range(0, len(words), 40)]
-    try:
-        base = zstandard.train_dictionary(2 * ORDINARY_BYTES, pieces[:30_000]).as_bytes()[-ORDINARY_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on
-        base = b" ".join(pieces)[:ORDINARY_BYTES]
-    model = Model(base, before + base, [], rate)
+    base = content(pieces, ORDINARY_BYTES)
+    model = Model(base, content(excerpts(train[1], grams), TOXIC_BYTES) + base, [], rate)
     rest = [(y, x) for y in (0, 1) for x in two[y][len(train[y]) :]]
     x = model.features(pa.array([x for _, x in rest], pa.binary()))
     y = np.array([y for y, _ in rest], float)
