@@ -132,6 +132,12 @@ def only(docs: DataFrame, ids: DataFrame, on: str | list[str] = "doc_id") -> Dat
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
 
 
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows and columns of docs whose doc_id and text are not among rows (doc_id, sig, distinct)."""
+    held = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"))
+    return held.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, ROW, "left_anti").select("_row.*")
+
+
 def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """docs left-joined to lists (one row for each doc_id and sig, written), moving the texts of only those that have one where that is possible."""
     if lists.count() > BROADCAST_IDS:

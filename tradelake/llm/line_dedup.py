@@ -7,8 +7,8 @@ and all their occurrences go. No line's rows are gathered.
 
 Results for unusual input: null texts have no lines and stay null; lines without a character other
 than space stay; a null source is no site. Two lines are equal when their bytes are (their 64-bit
-hash and length here). Rows with a null doc_id stay as they are; rows of one doc_id are changed alike
-where the same line stands at the same number.
+hash and length here). Rows with a null doc_id stay as they are; rows of one doc_id are cut each by its
+own text.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ MARGIN = 4
 
 
 def lines(docs: DataFrame, site: str = "source") -> DataFrame:
-    """doc_id, at (number of the line, from 0), h, size, site for each line with a character other than space."""
-    each = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(site).alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    return each.where(F.trim("line") != "").select("doc_id", "at", F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), "site")
+    """doc_id, sig, at (number of the line, from 0), h, size, site for each line with a character other than space."""
+    each = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), F.col(f"`{site}`").alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return each.where(F.trim("line") != "").select(*anchors.ROW, "at", F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"), "site")
 
 
 def boilerplate(each: DataFrame, sites: int = SITES) -> DataFrame:
@@ -41,33 +41,39 @@ def boilerplate(each: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, sites: int = SITES, site: str = "source") -> DataFrame:
-    """doc_id, gone (numbers of its boilerplate lines), a written table; a document's list is bounded by its text."""
+    """doc_id, sig, gone (numbers of its boilerplate lines), a written table; a document's list is bounded by its text."""
     each = scratch.written(lines(docs, site))
     common = scratch.written(boilerplate(each, sites))
-    return scratch.written(each.join(common, ["h", "size"], "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("gone")))
+    return scratch.written(each.join(common, ["h", "size"], "left_semi").groupBy(*anchors.ROW).agg(F.collect_set("at").alias("gone")))
 
 
-def cut(docs: DataFrame, sites: int = SITES, site: str = "source") -> DataFrame:
-    """docs without its boilerplate lines (text, and n_chars where there is such a column), one row for each row."""
+def _cut(docs: DataFrame, sites: int, site: str) -> DataFrame:
+    """_row (the row of docs), text and n_removed (lines) of each row after its boilerplate lines have gone."""
     gone = removed_lines(docs, sites, site)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"))
     out = anchors.with_lists(rows, gone)
     text = F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(F.array_join(F.filter(F.split("_row.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    out = out.select("_row", text.alias("_text"), F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long").alias("_gone"))
+    return out.select("_row", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def cut(docs: DataFrame, sites: int = SITES, site: str = "source") -> DataFrame:
+    """The rows and columns of docs without their boilerplate lines (text, and n_chars where there is such a column)."""
     fields = []
     for c in docs.columns:
         if c == "text":
-            fields.append(F.col("_text").alias("text"))
+            fields.append(F.col("text"))
         elif c == "n_chars":
-            fields.append(F.when(F.col("_gone") == 0, F.col("_row.n_chars")).otherwise(F.char_length("_text").cast(docs.schema["n_chars"].dataType)).alias("n_chars"))
+            fields.append(F.when(F.col("n_removed") == 0, F.col("_row.n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)).alias("n_chars"))
         else:
             fields.append(F.col(f"_row.`{c}`").alias(c))
-    return out.select(*fields, F.col("_gone").alias("_n_removed"), F.coalesce(F.size(F.split("_row.text", "\n", -1)), F.lit(0)).cast("long").alias("_n_lines"))
+    return _cut(docs, sites, site).select(*fields)
 
 
 def digest(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    out = cut(docs.select("doc_id", "text", "source"), sites)
-    return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines")).alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_removed, kept_sha256 (of the remaining text, null as empty)."""
+    out = _cut(docs.select("doc_id", "text", "source"), sites, "source")
+    n_lines = F.coalesce(F.size(F.split("_row.text", "\n", -1)), F.lit(0)).cast("long")
+    return out.select("_row.doc_id", n_lines.alias("n_lines"), "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = f"""
