@@ -2,7 +2,7 @@
 
 Features are words, pairs of neighbouring words, and single and paired word shapes (case, first and last
 character, length), hashed to SIZE weights and counted, divided by the square root of their sum of
-squares' bound. A bounded labelled sample is dealt to a few groups; each runs per-coordinate FTRL over
+squares' bound. A bounded labelled sample (SAMPLE rows of each class, of texts up to 64 KB) is dealt to a few groups; each runs per-coordinate FTRL over
 its rows and the groups' weights are averaged. A text's score is a sparse dot product over all its words.
 
 Results for unusual input: null and blank texts have the bias alone. Without both labels to learn from,
@@ -108,7 +108,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
     fitted = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(GROUPS))).groupBy("part").applyInPandas(fit, "at long, w double")
     # at most SIZE + 1 rows whatever the corpus
-    found = fitted.groupBy("at").agg(F.sum(F.col("w") / GROUPS).alias("w")).toPandas()
+    found = fitted.groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toPandas()
+    found["w"] /= max(1, found.loc[found["at"] < 0, "n"].sum())  # groups with rows: each has a bias
     weights = np.zeros(SIZE)
     inside = found["at"].to_numpy() >= 0
     weights[found["at"].to_numpy()[inside]] = found["w"].to_numpy()[inside]

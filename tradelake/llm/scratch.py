@@ -1,7 +1,7 @@
 """Tables written between the jobs of an operator.
 
 They go to the folder all executors share (`spark.checkpoint.dir`), so that a lost executor costs
-a reread and no rerun; a folder of this process is made only where the setting is missing.
+a reread and no rerun; in local mode, where the setting may be missing, a folder of this process is made.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="spark-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
