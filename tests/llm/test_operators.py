@@ -86,8 +86,11 @@ def test_fm_dedup(docs, monkeypatch, most):
 def test_wavelet_rank():
     values = np.random.default_rng(0).integers(0, 11, 200)
     index = fm_dedup.FMIndex(values + 1, np.array([120, 80]), np.array([0, 1]))
-    lo, hi = index.extend(np.array([3]), np.array([0]), np.array([len(index.text)]))
+    lo, hi = index.extend(np.array([3]), np.array([0]), np.array([index.size]))
     assert hi[0] - lo[0] == (values == 2).sum()
+    matrix = fm_dedup.WaveletMatrix(values, 4)
+    lo = np.arange(0, 150)
+    assert (matrix.least(lo, lo + 1 + lo % 40) == [values[a : a + 1 + a % 40].min() for a in lo]).all()
 
 
 def _sets():

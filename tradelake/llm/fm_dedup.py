@@ -1,12 +1,13 @@
 """Repeated word windows, by backward search in FM-indexes.
 
 Candidate segments (see anchors.py) are dealt to shards by the key of their anchor, so that all
-occurrences of a window are in one shard. A shard's index is built from the Burrows-Wheeler transform
-of its segments in a wavelet matrix of packed bits; its words keep no other copy. The segments
-stream through the index: backward search takes words from the right end of a window to the left as
-long as the match also stands in an earlier segment, which a range-minimum table over the suffix
-order tells. These matching statistics skip every window that holds a failed match, and a match of
-`width` words is followed to the right in the text.
+occurrences of a window are in one shard. A shard's index is the Burrows-Wheeler transform of its
+segments in a wavelet matrix, and the places of the suffixes, in suffix order, in another: packed bits
+with a count for each 64. Neither the words nor the suffix order stay in it. The segments stream against
+the index: backward search takes words from the right end of a window to the left as long as the match
+also stands in an earlier segment, which the least place in the suffix range tells, itself read from the
+second matrix. These matching statistics skip every window that holds a failed match, and a match of
+`width` words is reported.
 
 Results for unusual input: null texts count as empty; texts of fewer than `width` words are kept
 whole. The first place is kept (by doc_id, among rows of one id by a hash of the text, then by position);
@@ -43,17 +44,32 @@ class WaveletMatrix:
             self.levels.append((packed, counts, int((~ones).sum())))
             values = np.concatenate([values[~ones], values[ones]])
 
+    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
+        packed, counts, _ = self.levels[level]
+        block = at >> 6
+        return counts[block] + np.bitwise_count(packed[block] & ((U(1) << (at & 63).astype(U)) - U(1)))
+
     def range(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the occurrences of value in [lo, hi) stand in the last level's order."""
         both = np.concatenate([lo, hi])
         value = np.concatenate([value, value])
-        for depth, (packed, counts, zeros) in enumerate(self.levels):
-            block = both >> 6
-            ones = counts[block] + np.bitwise_count(packed[block] & ((U(1) << (both & 63).astype(U)) - U(1)))
+        for depth, (_, _, zeros) in enumerate(self.levels):
+            ones = self._ones(depth, both)
             bit = (value >> (self.bits - 1 - depth)) & 1
             both = np.where(bit == 1, zeros + ones, both - ones)
         return both[: len(lo)], both[len(lo) :]
 
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least value in each range [lo, hi), which are not empty."""
+        out = np.zeros(len(lo), np.int64)
+        for depth, (_, _, zeros) in enumerate(self.levels):
+            ones = self._ones(depth, np.concatenate([lo, hi]))
+            one_lo, one_hi = ones[: len(lo)], ones[len(lo) :]
+            none = hi - one_hi == lo - one_lo
+            out = 2 * out + none
+            lo, hi = np.where(none, zeros + one_lo, lo - one_lo), np.where(none, zeros + one_hi, hi - one_hi)
+        return out
+
 
 def suffix_order(text: np.ndarray, longest: int) -> np.ndarray:
     """Suffixes of text in order of their first `longest` symbols, by doubling of ranks."""
@@ -72,67 +88,51 @@ def suffix_order(text: np.ndarray, longest: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of segments (arrays of word ids from 1 on); place: the order of each segment's first occurrence."""
+    """Index of segments (words are numbers from 1 on); place: the order of each segment's first occurrence."""
 
     def __init__(self, segments: np.ndarray, lengths: np.ndarray, place: np.ndarray):
         ends = np.cumsum(lengths + 1)
-        self.starts = ends - lengths - 1
         text = np.zeros(int(ends[-1]) + 1, np.int64)
         inside = np.ones(len(text), bool)
         inside[ends - 1] = inside[-1] = False
         text[inside] = segments
-        self.text = text
-        self.order = suffix_order(text, int(lengths.max()) + 2)
+        self.size = len(text)
+        order = suffix_order(text, int(lengths.max()) + 2)
         symbols = int(text.max()) + 1
-        self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
+        counts = np.bincount(text, minlength=symbols)
         bits = max(1, int(symbols - 1).bit_length())
-        self.tree = WaveletMatrix(text[self.order - 1], bits)
-        low = np.zeros(1 << bits, np.int64)
-        # the last level's order groups symbols by their reversed bits; `first` is where each symbol's group begins there
+        self.tree = WaveletMatrix(text[order - 1], bits)
+        # the last level's order groups symbols by their reversed bits; `shift` leads from there to the suffixes that begin with the symbol
         reverse = np.zeros(symbols, np.int64)
         for b in range(bits):
             reverse |= ((np.arange(symbols) >> b) & 1) << (bits - 1 - b)
-        counts = np.bincount(text, minlength=symbols)
+        low = np.zeros(1 << bits, np.int64)
         low[reverse] = counts
-        self.first = (np.cumsum(low) - low)[reverse]
+        self.shift = np.cumsum(counts) - counts - (np.cumsum(low) - low)[reverse]
         owner = np.searchsorted(ends, np.arange(len(text)), "right")
-        rank = np.append(place, len(place)).astype(np.int32)[np.minimum(owner, len(place))]
-        self.table = [rank[self.order]]
-        size = 1
-        while size * 2 <= len(text):
-            last = self.table[-1]
-            self.table.append(np.minimum(last[:-size], last[size:]))
-            size *= 2
+        rank = np.append(place, len(place))[np.minimum(owner, len(place))]
+        self.places = WaveletMatrix(rank[order], max(1, int(len(place)).bit_length()))
 
     def extend(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that begin with word and go on as those in [lo, hi)."""
         lo, hi = self.tree.range(word, lo, hi)
-        shift = self.before[word] - self.first[word]
-        return lo + shift, hi + shift
-
-    def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The least place in the ranges [lo, hi), which are not empty."""
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        out = np.empty(len(lo), np.int32)
-        for k in np.unique(level):
-            at = level == k
-            out[at] = np.minimum(self.table[k][lo[at]], self.table[k][hi[at] - (1 << int(k))])
-        return out
+        return lo + self.shift[word], hi + self.shift[word]
 
 
-def earlier_windows(keys: np.ndarray, lengths: np.ndarray, words: np.ndarray, place: np.ndarray, width: int) -> list[np.ndarray]:
+def earlier_windows(lengths: np.ndarray, words: np.ndarray, place: np.ndarray, width: int) -> list[np.ndarray]:
     """For each segment, the starts of those of its windows that also stand in a segment of an earlier place."""
     ids = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
     index = FMIndex(ids, lengths, place)
-    text, n = index.text, len(index.text)
     hits_row, hits_start = [], []
     lane = np.flatnonzero(lengths >= width)
-    begin, end = index.starts, index.starts + lengths
+    end = np.cumsum(lengths)
+    begin = end - lengths
     start = begin[lane].copy()
     at = start + width - 1
-    lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), n)
+    lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), index.size)
     while len(lane):
-        lo, hi = index.extend(text[at], lo, hi)
-        earlier = index.earliest(lo, hi) < place[lane]
+        lo, hi = index.extend(ids[at], lo, hi)
+        earlier = index.places.least(lo, hi) < place[lane]
         whole = earlier & (at == start)
         if whole.any():
             hits_row.append(lane[whole])
@@ -140,7 +140,7 @@ def earlier_windows(keys: np.ndarray, lengths: np.ndarray, words: np.ndarray, pl
         moved = ~earlier | whole
         start = np.where(earlier, np.where(whole, start + 1, start), at + 1)
         at = np.where(moved, start + width - 1, at - 1)
-        lo, hi = np.where(moved, 0, lo), np.where(moved, n, hi)
+        lo, hi = np.where(moved, 0, lo), np.where(moved, index.size, hi)
         live = start + width <= end[lane]
         lane, start, at, lo, hi = lane[live], start[live], at[live], lo[live], hi[live]
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lengths)
@@ -175,7 +175,7 @@ def repeated_words(docs: DataFrame, width: int = 20, gram: int = GRAM) -> DataFr
         doc, sig, pos = (table.column(c).to_numpy() for c in [*anchors.ROW, "pos"])
         place = np.empty(len(doc), np.int64)
         place[np.lexsort((pos, sig, doc))] = np.arange(len(doc))
-        found = earlier_windows(table.column("key").to_numpy(), lengths, np.frombuffer(b"".join(content), U), place, width)
+        found = earlier_windows(lengths, np.frombuffer(b"".join(content), U), place, width)
         base = pos - table.column("lo").to_numpy()
         out_row, out_start, out_end = [], [], []
         for i, starts in enumerate(found):
