@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import allocation, gates, operations, resolution, streams, text
+from . import allocation, forms, gates, lookups, operations, resolution, review, streams, text, weights
 
-GROUPS = (allocation, gates, resolution, operations, streams, text)
+GROUPS = (allocation, weights, gates, resolution, lookups, operations, review, streams, text, forms)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -154,9 +154,9 @@ SELECT l_orderkey, ord, coalesce(stated, greatest(1, CASE WHEN uf > 0 THEN (2 *
     "freight_select_max_comparable": (_freight, """WITH x AS (SELECT o_orderkey, o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, c_nationkey % 3 AS own FROM orders JOIN customer ON o_custkey = c_custkey),
 c AS (SELECT o_orderkey, own, cents // 50 AS amount, 'WAYBILL' AS source, o_orderkey % 3 AS currency FROM x UNION ALL SELECT o_orderkey, own, cents // 40, 'BANK', o_custkey % 3 FROM x UNION ALL SELECT o_orderkey, own, 150000, 'INVOICE', NULL FROM x)
 SELECT o_orderkey, max(amount) FILTER (WHERE currency IS NULL OR currency = own) AS freight, arg_max(source, {'a': amount, 's': source}) FILTER (WHERE currency IS NULL OR currency = own) AS source, count(*) FILTER (WHERE currency <> own)::INTEGER AS n_foreign FROM c GROUP BY o_orderkey"""),
-    "subset_sum_totals_gate": (_subset, f"""WITH {_TOTAL}, g AS (SELECT l_orderkey, total, list(DISTINCT cents) AS t FROM j GROUP BY ALL), m AS (SELECT *, unnest(CASE WHEN len(t) <= 8 THEN range(1, 1 << len(t)) ELSE [0::BIGINT] END) AS mask FROM g),
-v AS (SELECT l_orderkey, total, t, mask, list_sum(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN t[i] ELSE 0 END)) AS y FROM m)
-SELECT l_orderkey, len(t)::INTEGER AS n_totals, bool_or(mask > 0 AND abs(y - total) * 100 <= greatest(total * 2, 500)) AS matched FROM v GROUP BY l_orderkey, t"""),
+    "subset_sum_totals_gate": (_subset, f"""WITH {_TOTAL}, g AS (SELECT l_orderkey, total, list_sort(list(DISTINCT cents)) AS t FROM j GROUP BY ALL), m AS (SELECT *, t[1:8] AS few, unnest(range(1, 1 << least(8, len(t)))) AS mask FROM g),
+v AS (SELECT l_orderkey, total, t, list_sum(list_transform(range(1, len(few) + 1), lambda i: CASE WHEN (mask >> (i - 1)) & 1 = 1 THEN few[i] ELSE 0 END)) AS y FROM m UNION ALL SELECT l_orderkey, total, t, unnest(t) FROM g)
+SELECT l_orderkey, len(t)::INTEGER AS n_totals, bool_or(abs(y - total) * 100 <= greatest(total * 2, 500)) AS matched FROM v GROUP BY l_orderkey, t"""),
     "supplementary_unit": (_supplementary, f"""WITH {ITEMS_SQL}, x AS (SELECT l_orderkey, ord, cents, l_quantity::BIGINT AS q, ['KGM', 'UNT', 'PR', 'DZN', 'SQM'][p_size % 5 + 1] AS unit FROM items JOIN part ON l_partkey = p_partkey)
 SELECT l_orderkey, ord, unit, CASE unit WHEN 'KGM' THEN cents * 7 WHEN 'PR' THEN q * 5000 WHEN 'DZN' THEN (q * 10000 + 6) // 12 WHEN 'SQM' THEN q * 15240 ELSE q * 10000 END AS amount FROM x"""),
     "serial_column_detect": (_serial, f"WITH {ITEMS_SQL}, x AS (SELECT l_orderkey, l_linenumber - lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY ord) AS step FROM items) SELECT l_orderkey, count(*) AS n, count(*) >= 3 AND coalesce(bool_and(step = 1), false) AS serial FROM x GROUP BY 1"),
