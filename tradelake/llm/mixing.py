@@ -29,6 +29,8 @@ RANGE_BLOCKS, LEAST_RANGES = 1 << 17, 1024
 ROW = ["id", "sig", "nth"]
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
+#: Words of an output shard, about.
+SHARD_WORDS = 1 << 23
 #: Standard deviation of a draw from which it is made by rejection.
 LARGE = 700
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -163,7 +165,11 @@ def mixed(rows: DataFrame, sources: DataFrame, shards: int = 16, seed: int = 1)
     items = placed.join(quotas, "src").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     # the copies of a source's blocks stand one whole round after the other; drawn blocks are the least of the permutation
     at = F.col("copy") * F.col("n_all") + F.col("rank")
-    shard = F.size(F.filter("upto", lambda x: x <= at))
+    items = items.withColumn("at", at)
+    # how many of the running numbers `at` has reached, by binary search
+    steps = F.sequence(F.lit(shards.bit_length() - 2), F.lit(0), F.lit(-1)) if shards > 1 else F.array().cast("array<int>")
+    shard = F.expr("aggregate(steps, 0, (p, k) -> if(upto[p + shiftleft(1, k) - 1] <= at, p + shiftleft(1, k), p))")
+    items = items.withColumn("steps", steps)
     return items.select(shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "copy").alias("place"), *ROW, "block", "copy", "words")
 
 
@@ -172,6 +178,12 @@ def source_targets(rows: DataFrame) -> DataFrame:
     return scratch.written(targets(rows.groupBy("src").agg(F.sum("size").alias("source_size"))))
 
 
+def shards_for(sources: DataFrame) -> int:
+    """A power of two of shards, of about SHARD_WORDS words each."""
+    words = sources.agg(F.sum("target")).first()[0] or 0
+    return 1 << max(4, int(words / SHARD_WORDS).bit_length())
+
+
 def digest(docs: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken (words of the mix from the row, repeats counted), n_shards."""
     rows = sized(docs)
@@ -181,21 +193,23 @@ def digest(docs: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards"))
 
 
-def corpus(docs: DataFrame, shards: int = 16, seed: int = 1) -> DataFrame:
+def corpus(docs: DataFrame, shards: int | None = None, seed: int = 1) -> DataFrame:
     """The mix itself: shard, place, doc_id, source, block, copy, words, text (of the block: its words, one space between), in order within each shard.
 
-    A row for each block taken and each copy of it; rows of which nothing is taken have none.
+    A row for each block taken and each copy of it; rows of which nothing is taken have none. shards: a power of two.
     """
     rows = sized(docs)
-    drawn = mixed(rows, source_targets(rows), shards, seed)
+    sources = source_targets(rows)
+    shards = shards or shards_for(sources)
+    drawn = mixed(rows, sources, shards, seed)
     lists = drawn.groupBy(*ROW).agg(F.collect_list(F.struct("shard", "place", "block", "copy", "words")).alias("blocks"))
     texts = docs.select("doc_id", *named(docs), "source", "text")
     # of equal rows one gives the text of all
     again = scratch.written(rows.where("nth > 0").select("id", "sig").distinct())
     few = F.broadcast(again) if again.count() <= anchors.BROADCAST_IDS else again
     texts = texts.join(few, ["id", "sig"], "left_anti").unionByName(texts.join(few, ["id", "sig"], "left_semi").dropDuplicates(["id", "sig"]))
-    words = F.regexp_extract_all("text", F.lit(f"({WORDS})"), F.lit(1))
-    each = lists.join(texts, ["id", "sig"]).select("doc_id", "source", words.alias("all"), F.explode("blocks").alias("b"))
-    text = F.array_join(F.slice("all", (F.col("b.block") * BLOCK + 1).cast("int"), F.lit(BLOCK)), " ")
-    out = each.select("b.shard", "b.place", "doc_id", "source", "b.block", "b.copy", "b.words", text.alias("text"))
+    # the words are found once a text, and each block's are joined before the blocks are dealt out
+    cut = f"""transform(array(regexp_extract_all(text, '({WORDS})', 1)), w -> transform(blocks, b ->
+        named_struct('shard', b.shard, 'place', b.place, 'block', b.block, 'copy', b.copy, 'words', b.words, 'text', array_join(slice(w, cast(b.block * {BLOCK} + 1 as int), {BLOCK}), ' '))))[0]"""
+    out = lists.join(texts, ["id", "sig"]).select("doc_id", "source", F.explode(F.expr(cut.replace("\\", "\\\\"))).alias("b")).select("b.shard", "b.place", "doc_id", "source", "b.block", "b.copy", "b.words", "b.text")
     return out.repartition(shards, "shard").sortWithinPartitions("shard", "place")
