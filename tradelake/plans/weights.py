@@ -9,15 +9,17 @@ from ..operators import apportion as a
 from ..operators.relational import best_row, first_of
 from ..sources.tables import ITEMS_SQL, items, read
 
-JOB = Window.partitionBy("l_orderkey")
+
+def job():
+    return Window.partitionBy("l_orderkey")
 
 
 def _gross_basis(s, d):
     """What gross weight is split by: packing gross, else cartons, else value (packing names all items), else quantity."""
     x = items(s, d).withColumn("gross", F.when(F.col("l_tax") > 0.05, F.col("l_quantity").cast("long") * 400)).withColumn("cartons", F.when(F.col("l_discount") > 0.04, F.col("ord")))
     packed = F.col("l_returnflag") != "N"
-    any_of = lambda v: F.max(v.isNotNull()).over(JOB)
-    complete = F.min(packed).over(JOB)
+    any_of = lambda v: F.max(v.isNotNull()).over(job())
+    complete = F.min(packed).over(job())
     kind = F.when(any_of(F.col("gross")), "PACKING_GROSS").when(any_of(F.col("cartons")), "CARTONS").when(complete, "VALUE").otherwise("QUANTITY")
     x = x.withColumn("kind", kind)
     basis = F.when(F.col("kind") == "PACKING_GROSS", F.coalesce("gross", F.lit(0))).when(F.col("kind") == "CARTONS", F.coalesce("cartons", F.lit(0))).when(F.col("kind") == "VALUE", F.col("cents")).otherwise(F.col("l_quantity").cast("long"))
@@ -55,11 +57,11 @@ def _weight_column(s, d):
 def _rejection(s, d):
     """Net weights read from descriptions that go, worst first, until the floors of an order fit its gross weight; the others stay."""
     x = items(s, d).withColumn("net", F.col("l_quantity").cast("long") * 100).withColumn("guess", F.col("l_returnflag") == "R")
-    x = x.withColumn("room", F.sum(F.col("l_quantity").cast("long")).over(JOB) * 60)
+    x = x.withColumn("room", F.sum(F.col("l_quantity").cast("long")).over(job()) * 60)
     order = Window.partitionBy("l_orderkey").orderBy(F.desc("guess"), F.desc("net"), "ord")
     before = F.coalesce(F.sum(F.when(F.col("guess"), F.col("net"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # the floors that are left when all guesses before this one have gone
-    left = F.sum("net").over(JOB) - before
+    left = F.sum("net").over(job()) - before
     return x.select("l_orderkey", "ord", "net", (F.col("guess") & (left > F.col("room"))).alias("rejected"))
 
 
@@ -67,7 +69,7 @@ def _pinned(s, d):
     """Gross weight with pinned items exact and the rest split over the others by floors; null where pins and floors don't fit."""
     total = read(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.round(F.col("o_totalprice")).cast("long").alias("authority"))
     x = items(s, d).join(total, "l_orderkey").withColumn("pin", F.when(F.col("l_linenumber") == 1, F.expr("authority div 9")))
-    x = x.withColumn("floor", F.when(F.col("pin").isNull(), F.col("l_quantity").cast("long") + 1).otherwise(0)).withColumn("rest", F.col("authority") - F.coalesce(F.sum("pin").over(JOB), F.lit(0)))
+    x = x.withColumn("floor", F.when(F.col("pin").isNull(), F.col("l_quantity").cast("long") + 1).otherwise(0)).withColumn("rest", F.col("authority") - F.coalesce(F.sum("pin").over(job()), F.lit(0)))
     free = a.with_floors(x.where("pin is null"), ["l_orderkey"], ["ord"], "cents", "rest", "floor", "share").select("l_orderkey", "ord", "share")
     return x.join(free, ["l_orderkey", "ord"], "left").select("l_orderkey", "ord", "pin", "floor", F.coalesce("pin", "share").alias("gross"))
 
@@ -145,7 +147,7 @@ def _all_or_nothing(s, d):
 def _rescored(s, d):
     """Forms of a job scored anew by comparison: 20 more for the lowest and for the highest gross weight, where they differ."""
     x = items(s, d).withColumn("score", F.when(F.col("l_returnflag") == "R", 60).when(F.col("l_returnflag") == "A", 40).otherwise(0))
-    lo, hi = F.min(F.struct("cents", "ord")).over(JOB), F.max(F.struct(F.col("cents"), (-F.col("ord")).alias("o"))).over(JOB)
+    lo, hi = F.min(F.struct("cents", "ord")).over(job()), F.max(F.struct(F.col("cents"), (-F.col("ord")).alias("o"))).over(job())
     x = x.withColumn("lo", lo).withColumn("hi", hi)
     differ = F.col("lo.cents") < F.col("hi.cents")
     more = F.when(differ & (F.col("ord") == F.col("lo.ord")), 20).when(differ & (F.col("ord") == -F.col("hi.o")), 20).otherwise(0)
