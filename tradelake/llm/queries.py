@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, fm_dedup, license_scan, line_dedup, mixing, ngram_join, quality, sql, suffix_dedup, toxicity
+from . import alignment, conversation_repair, decontamination, embedding_dedup, fm_dedup, license_scan, line_dedup, mixing, ngram_join, quality, secret_scan, sql, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": lambda s, d: ngram_join.digest(_read(s, d, "documents")),
         "op9_decontamination": lambda s, d: decontamination.digest(_read(s, d, "documents"), _read(s, d, "benchmark")),
         "op10_mixing": lambda s, d: mixing.digest(_read(s, d, "documents")),
+        "op11_alignment": lambda s, d: alignment.digest(_read(s, d, "documents")),
+        "op12_conversation_repair": lambda s, d: conversation_repair.digest(_read(s, d, "conversations")),
+        "op13_secret_scan": lambda s, d: secret_scan.digest(_read(s, d, "documents")),
     }
 
 
@@ -35,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": license_scan.ORACLE_SQL,
         "op6_line_dedup": line_dedup.ORACLE_SQL,
         "op8_ngram_join": sql.NGRAM_JOIN,
+        "op13_secret_scan": secret_scan.ORACLE_SQL,
     }

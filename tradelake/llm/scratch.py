@@ -28,11 +28,11 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """The same rows, read back from a Parquet table in the shared folder."""
+def written(df: DataFrame, codec: str = "zstd", **options: int) -> DataFrame:
+    """The same rows, read back from a Parquet table in the shared folder; options go to the writer."""
     spark = df.sparkSession
     at = f"{folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(at)
+    df.write.options(compression=codec, **options).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
