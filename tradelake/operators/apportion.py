@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -85,3 +87,113 @@ def with_ceilings(df: DataFrame, group: Sequence[str], order: Sequence[str], bas
     split = largest_remainder(weighed, group, order, "_open", "_rest_total", "_split")
     share = F.when(F.col("_room") < F.col(total), None).when(F.col("_full"), F.col(ceiling)).otherwise(F.col("_split"))
     return split.withColumn(out, share.cast("long")).drop("_b", "_bl", "_tl", "_full", "_room", "_rest_total", "_open", "_split")
+
+
+#: Items that take up a pin's difference at first.
+MOST_DONORS = 10
+
+
+def cartons(df: DataFrame, group: Sequence[str], order: Sequence[str], basis: str, total: str, pin: str, printed: str, out: str) -> DataFrame:
+    """Adds `out` (units of 0.01 package, sums exact), `verdict` and `change` to items of jobs.
+
+    pin: a reviewer's units, null without, kept as given. printed: the units that a packing list prints, null for items that are
+    estimated. Without pins the total is split in proportion to `basis`, a unit each at least. What pins add or free against that
+    split is taken by estimated items, the largest first: ten at most, not more than there are units, but further ones when those lack
+    room above one unit. What is left then rescales the printed items as a set.
+
+    verdict: OK; PINS_MISS_TOTAL (all items pinned and another sum); PINS_EXCEED (no room for the others, which
+    stay at a unit, or nothing to take the rest); TOO_SMALL (the total is under a unit an item: all stay at one).
+    change: PIN, DONOR, RESCALED, or NONE.
+    """
+    every = Window.partitionBy(*group)
+    n, pins = F.count(F.lit(1)).over(every), F.count(pin).over(every)
+    x = with_floors(df.withColumn("_one", F.lit(1).cast("long")), group, order, basis, total, "_one", "_base")
+    x = x.withColumn("_kind", F.when(F.col(pin).isNotNull(), "PIN").when(F.col(printed).isNull(), "ESTIMATE").otherwise("PRINTED"))
+    pinned = F.coalesce(F.sum(pin).over(every), F.lit(0))
+    verdict = (
+        F.when((pins == n) & (pinned != F.col(total)), "PINS_MISS_TOTAL").when(pins == n, "OK").when((pins > 0) & (F.col(total) - pinned < n - pins), "PINS_EXCEED").when(F.col("_base").isNull(), "TOO_SMALL").otherwise("OK")
+    )
+    x = x.withColumn("verdict", verdict).withColumn("_free", (F.col("verdict") == "OK") & (pins < n)).withColumn("_taken", F.coalesce(F.sum(F.col(pin) - F.col("_base")).over(every), F.lit(0)))
+    same = Window.partitionBy(*group, "_kind")
+    ranked = same.orderBy(F.desc("_base"), *order)
+    x = x.withColumn("_rank", F.row_number().over(ranked)).withColumn("_room", F.col("_base") - 1).withColumn("_upto", F.sum("_room").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
+    able = F.when(F.col("_taken") > 0, F.sum((F.col("_room") > 0).cast("int")).over(same)).otherwise(F.count(F.lit(1)).over(same))
+    enough = F.coalesce(F.min(F.when(F.col("_upto") >= F.col("_taken"), F.col("_rank"))).over(same), able)
+    few = F.least(F.lit(MOST_DONORS), able, F.abs("_taken"))
+    last = F.when(F.col("_taken") > 0, F.least(able, F.greatest(few, enough))).otherwise(few)
+    donor = (F.col("_kind") == "ESTIMATE") & F.col("_free") & (F.col("_taken") != 0)
+    x = x.withColumn("_last", last).withColumn("_donor", donor & (F.col("_rank") <= F.col("_last")))
+    donors = Window.partitionBy(*group, "_donor")
+    x = x.withColumn("_move", F.when(F.col("_donor"), F.least(F.abs("_taken"), F.when(F.col("_taken") > 0, F.sum("_room").over(donors)).otherwise(F.abs("_taken")))).otherwise(0))
+    x = x.withColumn("_by", F.when(~F.col("_donor"), 0).when(F.col("_taken") > 0, F.col("_room")).otherwise(F.col("_base")))
+    x = largest_remainder(x, [*group, "_donor"], ["_rank"], "_by", "_move", "_moves")
+    moved = F.coalesce(F.max(F.when(F.col("_donor"), F.col("_move"))).over(every), F.lit(0))
+    x = x.withColumn("_remain", F.when(F.col("_free"), F.col("_taken") - F.signum("_taken") * moved).otherwise(0).cast("long"))
+    rescaled = (F.col("_kind") == "PRINTED") & (F.col("_remain") != 0)
+    x = x.withColumn("_set", rescaled)
+    x = x.withColumn("_target", F.when(F.col("_set"), F.sum("_base").over(Window.partitionBy(*group, "_set")) - F.col("_remain")).otherwise(F.sum("_one").over(Window.partitionBy(*group, "_set"))).cast("long"))
+    x = with_floors(x, [*group, "_set"], order, "_base", "_target", "_one", "_share")
+    blocked = F.col("_free") & (F.col("_remain") != 0) & F.coalesce(F.max(F.col("_set") & F.col("_share").isNotNull()).over(every), F.lit(False)).eqNullSafe(F.lit(False))
+    x = x.withColumn("_stuck", blocked)
+    value = (
+        F.when(F.col("_kind") == "PIN", F.col(pin)).when(F.col("verdict").isin("PINS_EXCEED", "TOO_SMALL"), F.lit(1)).when(F.col("_donor"), F.col("_base") - F.signum("_taken") * F.col("_moves"))
+        .when(F.col("_set"), F.coalesce("_share", "_base")).otherwise(F.col("_base"))
+    )
+    change = F.when(F.col("_kind") == "PIN", "PIN").when(F.col("_donor") & (F.col("_moves") != 0), "DONOR").when(F.col("_set") & F.col("_share").isNotNull(), "RESCALED").otherwise("NONE")
+    done = x.withColumn(out, value.cast("long")).withColumn("change", change).withColumn("verdict", F.when(F.col("_stuck"), "PINS_EXCEED").otherwise(F.col("verdict")))
+    return done.select(*df.columns, out, "verdict", "change")
+
+
+def _whole_shares(total: int, basis: list[int]) -> list[int]:
+    """total in proportion to basis, rounded down, the rest by largest remainders; equal where the basis is nothing."""
+    weights = basis if sum(basis) > 0 else [1] * len(basis)
+    whole = sum(weights)
+    parts = [divmod(total * w, whole) for w in weights]
+    out = [a for a, _ in parts]
+    for i in sorted(range(len(parts)), key=lambda i: (-parts[i][1], i))[: total - sum(out)]:
+        out[i] += 1
+    return out
+
+
+def _bounded(total: int, basis: list[int], floors: list[int], ceilings: list[int | None]) -> list[int] | None:
+    if sum(floors) > total:
+        return None
+    out: list[int | None] = [None] * len(basis)
+    open_ = list(range(len(basis)))
+    while open_:
+        left = total - sum(x for x in out if x is not None)
+        shares = _whole_shares(left, [basis[i] for i in open_])
+        least = [floors[i] for i in open_]
+        if any(s < f for s, f in zip(shares, least, strict=True)):
+            shares = [f + s for f, s in zip(least, _whole_shares(left - sum(least), [basis[i] for i in open_]), strict=True)]
+        over = {i for i, s in zip(open_, shares, strict=True) if ceilings[i] is not None and s > ceilings[i]}
+        if any(ceilings[i] < floors[i] for i in over):
+            return None
+        if not over:
+            for i, s in zip(open_, shares, strict=True):
+                out[i] = s
+            return out
+        for i in over:
+            out[i] = ceilings[i]
+        open_ = [i for i in open_ if i not in over]
+    return None
+
+
+def with_bounds(df: DataFrame, group: Sequence[str], order: Sequence[str], basis: str, total: str, floor: str, ceiling: str, out: str) -> DataFrame:
+    """Adds `out`: shares of a group's total in proportion to `basis`, none under `floor`, none over `ceiling` (null: without one).
+
+    In passes: items whose share is over their ceiling are held at it and the others share what is left, until none
+    is over. A floor binds as in with_floors. A group that its floors exceed, or whose ceilings can't take its total, has no split:
+    its shares are null. A group's items (four numbers each) are in one task; null floors are 0.
+    """
+    def split(table: pa.Table) -> pa.Table:
+        at = pc.sort_indices(table, [(c, "ascending") for c in order])
+        table = table.take(at)
+        column = lambda c: table.column(c).to_pylist()
+        shares = _bounded(column("_total")[0], column("_basis"), column("_floor"), column("_ceiling"))
+        return table.drop_columns(["_total", "_basis", "_floor", "_ceiling"]).append_column("_out", pa.array(shares or [None] * table.num_rows, pa.int64()))
+
+    numbers = {"_total": F.col(total), "_basis": F.coalesce(F.greatest(F.col(basis), F.lit(0)), F.lit(0)), "_floor": F.coalesce(F.col(floor), F.lit(0)), "_ceiling": F.col(ceiling)}
+    given = df.withColumns({k: v.cast("long") for k, v in numbers.items()})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return given.groupBy(*group).applyInArrow(split, f"{schema}, _out long").withColumnRenamed("_out", out)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..streaming.runs import shared_folder
@@ -36,3 +38,43 @@ def greedy(pairs: DataFrame, group: Sequence[str], left: str, right: str, score:
         k += 1
         open_ = kept(open_.join(won.select(*group, left), [*group, left], "left_anti").join(won.select(*group, right), [*group, right], "left_anti"), f"open-{k}")
     return ranked.limit(0) if done is None else done
+
+
+def with_margin(pairs: DataFrame, group: str, left: str, right: str, score: str, margin: float, most: float) -> DataFrame:
+    """group, left, right, score, rival, confidence, verdict: what becomes of each left of a group, whole groups at a time.
+
+    Pairs come in the order of score (highest first), then left, then right. A pair whose sides are both free is MATCHED if its
+    score leads the best rival (another right of its left that is still free) by `margin` at least; else its left is AMBIGUOUS and is
+    frozen: it gets none of the others either. A left all of whose rights went to others is TAKEN (right null). confidence is the
+    score, `most` at most: a likeness is a proposal and ranks under equal names and codes. Pairs without a score have no part.
+
+    The pairs of a group are in one task, as columns; keep a group to one document's candidates.
+    """
+    schema = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+
+    def decide(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("_s", "descending"), (left, "ascending"), (right, "ascending")]))
+        lefts, rights, scores = (table.column(c).to_pylist() for c in (left, right, "_s"))
+        of: dict = {}
+        for i, a in enumerate(lefts):
+            of.setdefault(a, []).append(i)
+        taken: set = set()
+        done: dict = {}
+        for i, (a, b, s) in enumerate(zip(lefts, rights, scores, strict=True)):
+            if a in done or b in taken:
+                continue
+            rival = next((scores[j] for j in of[a] if rights[j] != b and rights[j] not in taken), 0.0)  # its pairs are in order of score
+            if s - rival < margin:
+                done[a] = (b, s, rival, None, "AMBIGUOUS")
+            else:
+                taken.add(b)
+                done[a] = (b, s, rival, min(s, most), "MATCHED")
+        rows = [(a, *done.get(a, (None, None, None, None, "TAKEN"))) for a in of]
+        columns = list(zip(*rows, strict=True))
+        job = pa.repeat(table.column(group)[0], len(rows))
+        kinds = [table.schema.field(left).type, table.schema.field(right).type, pa.float64(), pa.float64(), pa.float64(), pa.string()]
+        names = [group, left, right, "score", "rival", "confidence", "verdict"]
+        return pa.Table.from_arrays([job, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+
+    given = pairs.where(F.col(score).isNotNull()).groupBy(group, left, right).agg(F.max(F.col(score).cast("double")).alias("_s"))
+    return given.groupBy(group).applyInArrow(decide, f"{group} {schema[group]}, {left} {schema[left]}, {right} {schema[right]}, score double, rival double, confidence double, verdict string")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import allocation, descriptions, forms, gates, lookups, operations, resolution, review, streams, text, weights
+from . import allocation, descriptions, forms, gates, goods, lookups, operations, pages, resolution, review, streams, text, weights
 
-GROUPS = (allocation, weights, gates, resolution, lookups, operations, review, streams, text, forms, descriptions)
+GROUPS = (allocation, weights, gates, resolution, lookups, operations, review, streams, text, forms, descriptions, pages, goods)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -148,27 +148,39 @@ def _fingerprint(s, d):
     return x.select("l_orderkey", F.sha2(text, 256).alias("fingerprint"))
 
 
-def _profile(s, d, agreed: int = 2):
+def learned(events, agreed: int = 2):
     """A vendor's country as its shipments teach it, in order of time: a reviewer's word stands over observations and an observation
-    that contradicts the last one begins anew; it is proposed on a reviewer's word, or after `agreed` like observations."""
-    x = read(s, d, "events").select("user_id", F.struct("ts", "event_id", (F.col("event_id") % 3).alias("value"), (F.col("event_type") == "signup").alias("reviewer")).alias("e"))
-    seen = x.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("es"))  # a vendor's shipments, bounded by its own history
-    start = F.struct(F.lit(None).cast("bigint").alias("value"), F.lit(False).alias("reviewer"), F.lit(0).alias("n"))
-    step = lambda a, e: (
-        F.when(e["reviewer"], F.struct(e["value"].alias("value"), F.lit(True).alias("reviewer"), F.lit(1).alias("n")))
-        .when(a["reviewer"], a)
-        .when(a["value"].eqNullSafe(e["value"]), F.struct(a["value"].alias("value"), F.lit(False).alias("reviewer"), (a["n"] + 1).alias("n")))
-        .otherwise(F.struct(e["value"].alias("value"), F.lit(False).alias("reviewer"), F.lit(1).alias("n")))
+    that contradicts the last one begins anew; it is proposed on a reviewer's word, or after `agreed` like observations.
+
+    By windows, so that a vendor's history is sorted and spilled, not held: the last reviewer's row, else the last run of equal values.
+    """
+    by = Window.partitionBy("user_id")
+    ordered = by.orderBy("ts", "event_id")
+    x = events.select("user_id", "ts", "event_id", (F.col("event_id") % 3).alias("value"), (F.col("event_type") == "signup").alias("reviewer"))
+    x = x.withColumn("i", F.row_number().over(ordered)).withColumn("fresh", F.coalesce(F.lag("value").over(ordered) != F.col("value"), F.lit(True)))
+    g = x.groupBy("user_id").agg(
+        F.max_by("value", F.when(F.col("reviewer"), F.col("i"))).alias("said"), F.coalesce(F.bool_or("reviewer"), F.lit(False)).alias("reviewer"),
+        F.max_by("value", "i").alias("last"), (F.max("i") - F.max(F.when(F.col("fresh"), F.col("i"))) + 1).alias("n"),
     )
-    y = seen.select("user_id", F.aggregate("es", start, step).alias("p"))
-    return y.select("user_id", "p.value", "p.reviewer", F.when(F.col("p.reviewer") | (F.col("p.n") >= agreed), F.col("p.value")).alias("proposed"))
+    value = F.when(F.col("reviewer"), F.col("said")).otherwise(F.col("last"))
+    return g.select("user_id", value.alias("value"), "reviewer", F.when(F.col("reviewer") | (F.col("n") >= agreed), value).alias("proposed"))
+
+
+def _profile(s, d):
+    return learned(read(s, d, "events"))
+
+
+def layouts(rows, placed: bool = True):
+    """Remembered layouts: the most confirmed rows, documents seen and the first vendor of each signature; the most confirmed first.
+
+    rows: documents (role, signature, confirmed, user_id, ts, event_id), or results without places.
+    """
+    g = rows if "docs" in rows.columns else rows.groupBy("role", "signature").agg(F.max("confirmed").alias("confirmed"), F.count("*").alias("docs"), F.min_by("user_id", F.struct("ts", "event_id")).alias("vendor"))
+    return g.withColumn("place", F.row_number().over(Window.partitionBy("role").orderBy(F.desc("confirmed"), F.desc("docs"), "signature"))) if placed else g
 
 
 def _layouts(s, d):
-    """Remembered layouts: the most confirmed rows, documents seen and the first vendor of each signature; the most confirmed first."""
-    x = read(s, d, "events").select(F.col("event_type").alias("role"), (F.col("event_id") % 12).alias("signature"), F.expr("cast(value as bigint)").alias("confirmed"), "user_id", "ts", "event_id")
-    g = x.groupBy("role", "signature").agg(F.max("confirmed").alias("confirmed"), F.count("*").alias("docs"), F.min_by("user_id", F.struct("ts", "event_id")).alias("vendor"))
-    return g.withColumn("place", F.row_number().over(Window.partitionBy("role").orderBy(F.desc("confirmed"), F.desc("docs"), "signature")))
+    return layouts(read(s, d, "events").select(F.col("event_type").alias("role"), (F.col("event_id") % 12).alias("signature"), F.expr("cast(value as bigint)").alias("confirmed"), "user_id", "ts", "event_id"))
 
 
 def _regime(s, d):
