@@ -247,3 +247,32 @@ def test_ownership_counts(spark):
     got = {(r.owners, r.repositories) for r in secret_scan.ownership(secret_scan.scanned(docs_of(spark, rows))).collect()}
     assert got == {(1, 21), (1, 1)}
     assert {r.spans for r in secret_scan.digest(docs_of(spark, rows)).collect() if r.n_assign == 0} == {""}  # over 20 repositories
+
+
+# --- rows that share an id
+
+
+def test_kept_goes_by_text(spark):
+    from tradelake.llm import ngram_join
+
+    def text(k):
+        return " ".join(f"{k}{i}" for i in range(40))
+
+    rows = [(3, text("a"), "s"), (7, text("a"), "s"), (7, text("b"), "s"), (9, text("c"), "s"), (None, text("b"), "s"), (None, text("d"), "s"), (9, text("c"), "s"), (4, None, "s"), (5, "", "s"), (6, None, "s")]
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.kept(docs_of(spark, rows), 80, 5).collect())
+    # one of each text stays, that of a row whose id is its own before others; rows without text stay
+    assert kept[3, text("a")] == 1 and kept[7, text("a")] == 0 and kept[9, text("c")] == 2 and kept[None, text("d")] == 1
+    assert kept[7, text("b")] + kept[None, text("b")] == 1 and kept[4, None] == kept[5, ""] == kept[6, None] == 1
+    assert sum(kept.values()) == 8
+
+
+def test_licenses_by_row_and_over_lines(spark):
+    from tradelake.llm import license_scan
+
+    notice = license_scan.TEMPLATES["isc-notice"]
+    words = notice.split()
+    wrapped = " ".join(words[:8]) + "\n# " + " ".join(words[8:])
+    rows = [(1, notice, "s"), (1, "plain words only", "s"), (None, notice, "s"), (2, wrapped, "s"), (3, wrapped.replace("\n", "\n\n\n\n"), "s"), (4, None, "s")]
+    got = Counter((r.doc_id, r.n_words, r.labels, round(r.score, 3)) for r in license_scan.digest(docs_of(spark, rows)).collect())
+    n = len(words)
+    assert got == Counter([(1, n, "isc-notice", 1.0), (1, 3, "", 0.0), (None, n, "isc-notice", 1.0), (2, n, "isc-notice", 1.0), (3, n, "", 0.0), (4, 0, "", 0.0)])

@@ -10,8 +10,7 @@ together have `width` bytes. A node whose members agree in more than a descendan
 repeat with more occurrences. A repeat that spans several anchors comes out in overlapping parts.
 
 Results for unusual input: null texts count as empty, and a text shorter than `width` has no repeats.
-Equal rows repeat each other; rows of one doc_id are texts of their own. Rows with a null doc_id are
-neither compared nor changed. Further
+Equal rows repeat each other; rows of one doc_id, or without one, are texts of their own. Further
 columns of the input are ignored here.
 """
 
@@ -27,6 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import anchors, scratch
 
 GRAM = 100
+#: Stands for a missing doc_id (and so is not to be used as one).
+NO_ID = -(1 << 63)
 #: Windows in a piece of a segment whose key is crowded.
 PIECE = 16
 
@@ -137,6 +138,7 @@ def repeats(docs: DataFrame, width: int = 400, gram: int = GRAM) -> DataFrame:
 
 def removed(docs: DataFrame, width: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes that no repeat of `width` covers), one row for each row of docs."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     spans = scratch.written(merged_lists(repeats(docs, width)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +163,8 @@ def removed(docs: DataFrame, width: int = 400) -> DataFrame:
                     kept.append(np.frombuffer(text, np.uint8)[~covered].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return anchors.with_lists(anchors.texts(docs), spans).select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = anchors.with_lists(anchors.texts(docs), spans).select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def merged_lists(spans: DataFrame) -> DataFrame:
