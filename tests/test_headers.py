@@ -32,6 +32,16 @@ def test_units_and_folding():
     assert h.folded("Số lượng") == "SO LUONG" and h.folded("品名 Désignation") == "DESIGNATION" and h.folded("Q'TY.") == "QTY" and h.folded(None) == ""
 
 
+def test_cells_by_hand():
+    from tests.test_cells import DECIMALS, RANGES
+
+    for raw, hint, want in DECIMALS:
+        assert h.amount(raw, hint == "EU") == (None if want is None else Decimal(want)), (raw, hint)
+    assert {k: h.packages(k) for k in RANGES} == RANGES
+    assert [h.quantity(x) for x in ("25", "25 EA (1/EA)", "6PCS", "20CM", "1.5", "x", "", None)] == [("25", None), ("25", "EA"), ("6", "PCS"), (None, None), ("1.5", None), (None, None), (None, None), (None, None)]
+    assert [h.weight_unit(x) for x in ("12.5 KG", "KG 12.5", "1 240,00", "about 5", "", None)] == ["KG", "KG", "", "about", None, None]
+
+
 def page(spark, text):
     return spark.createDataFrame([(1, text), (2, None), (3, "no table here")], "doc long, text string")
 

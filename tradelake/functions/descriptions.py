@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from . import cells as c
@@ -235,18 +239,24 @@ def table_cells(line: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^\*+|\*+$", "")))
 
 
-def _quantity(cell: Column) -> Column:
-    """struct(qty, unit, merged) of a cell that is a number, or a number and a unit of count with or without a short bracket behind."""
-    def read(bare):
-        number = F.regexp_extract(bare, "^[0-9.,]*", 0)
-        unit = F.trim(F.substr(bare, F.length(number) + 1, F.length(bare)))
-        bracket = F.substr(F.trim(cell), F.length(bare) + 1, F.length(cell))
-        closed = (F.trim(bracket) == "") | bracket.rlike("[)]$") & (F.length(F.trim(bracket)) <= 26) & (F.length(F.translate(bracket, "()", "")) == F.length(bracket) - 2)
-        numeric = _is_value(number) & number.rlike("^[0-9].*[0-9]$|^[0-9]$")
-        known = F.upper(unit).isin(*COUNT_UNITS)
-        return F.struct(F.when(numeric & closed, number).alias("qty"), F.when(known, unit).alias("unit"), (numeric & closed & known).alias("merged"), (numeric & (bare == cell) & (unit == "")).alias("alone"))
+_COUNTED = frozenset(COUNT_UNITS)
+
+
+def quantity(cell: str | None) -> tuple[str | None, str | None]:
+    """(number, unit) of a cell that is a number, or a number and a unit of count with or without a short bracket behind."""
+    found = re.fullmatch(r"([0-9]+(?:[.,][0-9]+)*)\s*([^()]*?)\s*(\([^()]{0,24}\))?", (cell or "").strip())
+    if not found or found[2] and found[2].upper() not in _COUNTED or found[3] and not found[2]:
+        return None, None
+    return found[1], found[2] or None
+
 
-    return c.let(F.rtrim(F.substring_index(cell, "(", 1)), read)
+def first_quantity(cells: Sequence[str]) -> tuple[int | None, str | None, str | None]:
+    """(place, number, unit): the first number cell with a unit cell after it, else the first cell that is both."""
+    read = [quantity(x) for x in cells]
+    for i, (number, unit) in enumerate(read[:-1]):
+        if number and not unit and number.count(".") + number.count(",") < 2 and cells[i + 1].upper() in _COUNTED:
+            return i, number, cells[i + 1]
+    return next(((i, number, unit) for i, (number, unit) in enumerate(read) if unit), (None, None, None))
 
 
 def quantity_cell(cells: Column) -> Column:
@@ -254,13 +264,12 @@ def quantity_cell(cells: Column) -> Column:
 
     at counts from 0 and is null without one.
     """
-    def found(read):
-        first = lambda keep: F.array_min(F.filter(F.sequence(F.lit(0), F.size(cells) - 1), keep))
-        pair = first(lambda i: F.get(read, i)["alone"] & F.coalesce(F.upper(F.get(cells, i + 1)).isin(*COUNT_UNITS), F.lit(False)))
-        at = F.coalesce(pair, first(lambda i: F.get(read, i)["merged"]))
-        return F.struct(at.alias("at"), F.get(read, at)["qty"].alias("qty"), F.when(pair.isNotNull(), F.get(cells, pair + 1)).otherwise(F.get(read, at)["unit"]).alias("unit"))
+    @F.pandas_udf("struct<at:int,qty:string,unit:string>")
+    def found(lines: pd.Series) -> pd.DataFrame:
+        rows = [first_quantity(list(x)) if x is not None else (None, None, None) for x in lines]
+        return pd.DataFrame({"at": pd.array([r[0] for r in rows], "Int32"), "qty": [r[1] for r in rows], "unit": [r[2] for r in rows]})
 
-    return c.let(F.transform(cells, _quantity), found)
+    return found(cells)
 
 
 def identity_tokens(text: Column) -> Column:

@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -175,10 +176,16 @@ def header_roles(cells: list[str], packing: bool = False) -> dict | None:
     return {"roles": roles, "units": units, "uom": uom, "n_cols": len(cells)}
 
 
+@lru_cache(maxsize=1 << 14)
+def _known(cells: tuple[str, ...], packing: bool) -> dict | None:
+    """header_roles of headers met before: vendors print the same ones on all their pages."""
+    return header_roles(list(cells), packing)
+
+
 def could_be_header(cells: Column) -> Column:
-    """Three cells or more, words in two at least, and none that holds data: a number, or a number and a unit."""
-    data = lambda x: x.rlike(r"^[^A-Za-z]*[0-9][^A-Za-z]*$") | d._quantity(x)["merged"]
-    return F.coalesce((F.size(cells) >= 3) & (F.size(F.filter(cells, lambda x: x.rlike("[A-Za-z]|[^\\x00-\\x7F]"))) >= 2) & ~F.exists(cells, data), F.lit(False))
+    """Three cells or more, words in two at least, and none in which a digit stands before any letter, as in numbers, quantities and ranges."""
+    words = F.filter(cells, lambda x: x.rlike("[A-Za-z]|[^\\x00-\\x7F]"))
+    return F.coalesce((F.size(cells) >= 3) & (F.size(words) >= 2) & ~F.exists(cells, lambda x: x.rlike("^[^A-Za-z]*[0-9]")), F.lit(False))
 
 
 def with_roles(lines: DataFrame, packing: bool = False) -> DataFrame:
@@ -188,7 +195,7 @@ def with_roles(lines: DataFrame, packing: bool = False) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [header_roles(x, packing) or {} for x in batch.column("cells").to_pylist()]
+            found = [_known(tuple(x), packing) or {} for x in batch.column("cells").to_pylist()]
             pairs = lambda k: [list(x[k].items()) if k in x else None for x in found]
             values = (pairs("roles"), pairs("units"), [x.get("uom") for x in found], [x.get("n_cols") for x in found])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], names=[*batch.schema.names, "roles", "units", "uom", "n_cols"])
@@ -199,54 +206,93 @@ def with_roles(lines: DataFrame, packing: bool = False) -> DataFrame:
 
 # --- rows under a header
 
-_PROVED = ("qty_per_pkg", "ctn", "qty")
-
-
-def _role(roles: Column, name: str) -> Column:
-    return F.try_element_at(roles, F.lit(name))
+def amount(raw: str | None, eu: bool = False) -> Decimal | None:
+    """A printed amount, read as cells.parse_decimal reads it (held against the same values in the tests), for use row by row."""
+    text = (raw or "").strip(" ")
+    found = re.search("[0-9](?:.*[0-9])?", text, re.DOTALL)
+    if not found:
+        return None
+    lead, parts = text[: found.start()], re.sub(r"[^0-9\s.,-]", "", found[0]).split()
+    if len(parts) > 1:
+        last = re.split("[.,]", parts[-1])
+        if not (len(parts[0]) <= 3 and parts[0].isdigit() and all(len(x) == 3 and x.isdigit() for x in parts[1:-1]) and len(last[0]) == 3 and (len(last) == 1 or len(last) == 2 and 1 <= len(last[1]) <= 2)):
+            return None
+    number = ("0." if re.search(r"(?:^|[^A-Za-z])\.$", lead) else "") + "".join(parts)
+    if not re.fullmatch("[0-9.,]+", number):
+        return None
+    groups, signs = re.split("[.,]", number), re.sub("[0-9]", "", number)
+    dots, commas, tail = signs.count("."), signs.count(","), len(groups[-1])
+    even = 1 <= len(groups[0]) <= 3 and all(len(x) == 3 for x in groups[1:-1])
+    whole = "".join(groups)
+    if commas == 1 and signs[-1] == "," and tail <= (6 if eu and even else 2) or len(signs) > 1 and not (dots and commas) and even and tail == 2:
+        number = f"{whole[: len(whole) - tail]}.{groups[-1]}"
+    elif not dots or not commas and even and tail == 3 and (eu or len(signs) > 1):
+        number = whole
+    elif dots == 1:
+        number = number.replace(",", "")
+    else:
+        return None
+    value = Decimal(number)
+    return -value if (text.startswith("(") and text.endswith(")")) != ("-" in lead) else value
 
 
-def at(cells: Column, roles: Column, name: str) -> Column:
-    """The filled cell of a role, else null."""
-    return F.nullif(F.trim(F.get(cells, _role(roles, name))), F.lit(""))
+def weight_unit(cell: str | None) -> str | None:
+    """The unit printed with a number before or behind it, "" without one; null where the cell is anything else."""
+    found = re.fullmatch(r"([A-Za-z]{1,8}\.?)?\s*[0-9][0-9., \u00a0\u202f]*\s*([A-Za-z]{1,8}\.?)?", (cell or "").strip())
+    return None if not found or found[1] and found[2] else (found[1] or found[2] or "")
 
 
-#: What with_numbers adds.
-READ = ("numbers", "amounts", "unit_words", "weight_units", "counts")
+def packages(cell: str | None) -> int | None:
+    """Packages that carton numbers name: 1-5, 8 and 10 are seven; a part is a range only behind a word for packages or none."""
+    total = 0
+    for part in re.split("[,;]", re.sub(r"(?i)\s(and|&)\s", ",", cell or "").upper()):
+        ends = re.search(r"([0-9]+)\s*(?:-|–|—|THROUGH|THRU|TO)\s*([0-9]+)\s*$", re.sub("N0(?![0-9])", "NO", part))
+        word = re.sub(r"[ /.#\t]", "", re.sub("N0(?![0-9])", "NO", part)[: ends.start()]) if ends else None
+        if ends and (not word or word in c.PACKAGE_WORDS):
+            total += max(0, int(ends[2]) - int(ends[1]) + 1)
+        else:
+            total += bool(re.search("[0-9]", part))
+    return total or None
 
 
-def with_numbers(lines: DataFrame, locale: Column | None = None) -> DataFrame:
-    """Adds what each cell reads as, arrays as long as cells: its number, the amount and unit of a quantity, the unit of a weight ("" without one, null if it is none), and the packages that it names."""
-    read = lines.withColumn("_read", F.transform("cells", d._quantity))
-    every = F.concat("cells", F.transform("_read", lambda x: x["qty"]))
-    weight = lambda x: c.let(d.value_and_unit(x), lambda v: F.when(v["value"].isNotNull(), F.coalesce(v["unit"], F.lit(""))))
-    read = read.withColumn("_values", F.transform(every, lambda x: c.parse_decimal(x, locale).cast("decimal(18,4)")))
-    n = F.size("cells")
-    return read.select(
-        *lines.columns, F.slice("_values", F.lit(1), n).alias("numbers"), F.slice("_values", n + 1, n).alias("amounts"), F.transform("_read", lambda x: x["unit"]).alias("unit_words"),
-        F.transform("cells", weight).alias("weight_units"), F.transform("cells", c.range_count).alias("counts"),
-    )
+_COUNTED = frozenset(d.COUNT_UNITS)
+quantity = d.quantity
 
 
-def realigned_at(lines_cells: Column, numbers: Column, roles: Column, n_cols: Column) -> Column:
-    """The place (1 on) at which a blank makes good a row that is short by one or two cells, by its own numbers, else null.
+def realigned(cells: list[str], roles: dict[str, int], n_cols: int, eu: bool = False) -> list[str] | None:
+    """A row that is short by one or two cells with a blank put in where its own numbers prove it, else None.
 
     Every inner place is tried, the row being filled up at its end. One fits if quantity per package x packages =
     quantity, the description has words, and a filled unit cell holds a unit. It counts only as the single one to fit.
     """
-    short = n_cols - F.size(lines_cells)
-    provable = F.forall(F.array(*(_role(roles, x) for x in _PROVED)), lambda x: x.isNotNull()) & short.between(1, 2)
-
-    def fits(k: Column) -> Column:
-        shifted = lambda values, name: F.when(_role(roles, name) < k, F.get(values, _role(roles, name))).when(_role(roles, name) > k, F.get(values, _role(roles, name) - 1))
-        rate, packages, qty = (shifted(numbers, x) for x in _PROVED)
-        proof = (rate > 0) & (packages > 0) & (qty > 0) & (F.round(rate * packages, 2) == F.round(qty, 2))
-        unit = F.nullif(F.trim(shifted(lines_cells, "uom")), F.lit(""))
-        worded = _role(roles, "desc").isNull() | F.coalesce(shifted(lines_cells, "desc"), F.lit("")).rlike("[A-Za-z]{2}")
-        return F.coalesce(proof, F.lit(False)) & worded & (unit.isNull() | F.upper(unit).isin(*d.COUNT_UNITS))
+    proved = [roles.get(x) for x in ("qty_per_pkg", "ctn", "qty")]
+    if None in proved or not 1 <= n_cols - len(cells) <= 2:
+        return None
+    hits = []
+    for k in range(1, len(cells) + 1):
+        row = [*cells[:k], "", *cells[k:], *[""] * (n_cols - len(cells) - 1)]
+        rate, boxes, qty = (amount(row[i], eu) for i in proved)
+        unit = row[roles["uom"]].strip() if "uom" in roles else ""
+        good = all(x is not None and x > 0 for x in (rate, boxes, qty)) and (rate * boxes).quantize(CENT, ROUND_HALF_UP) == qty.quantize(CENT, ROUND_HALF_UP)
+        if good and ("desc" not in roles or re.search("[A-Za-z]{2}", row[roles["desc"]])) and (not unit or unit.upper() in _COUNTED):
+            hits.append(row)
+    return hits[0] if len(hits) == 1 else None
+
+
+def put_right(lines: DataFrame) -> DataFrame:
+    """Lines with `shift`: NONE, REALIGNED (cells are those put right), or SHORT (by one or two cells, and no single place proved)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, shifts = [], []
+            for row, roles, n in zip(*(batch.column(x).to_pylist() for x in ("cells", "roles", "n_cols")), strict=True):
+                right = realigned(row, dict(roles), n) if roles is not None else None
+                cells.append(right or row)
+                shifts.append("REALIGNED" if right else "SHORT" if n is not None and 1 <= n - len(row) <= 2 else "NONE")
+            kept = [pa.array(cells, pa.list_(pa.string())) if x == "cells" else batch.column(x) for x in batch.schema.names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(shifts)], names=[*batch.schema.names, "shift"])
 
-    found = F.filter(F.sequence(F.lit(1), F.size(lines_cells)), fits)
-    return F.when(provable, c.let(found, lambda x: F.when(F.size(x) == 1, F.get(x, 0))))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields)
+    return lines.mapInArrow(work, f"{own}, shift string")
 
 
 # Words of totals lines.
@@ -271,12 +317,15 @@ class Row:
     def __init__(self, line: dict):
         self.line, self.roles = line, dict(line["roles"])
 
-    def get(self, of: str, role: str):
-        i = self.roles.get(role)
-        return self.line[of][i] if i is not None and i < len(self.line[of]) else None
-
     def text(self, role: str) -> str | None:
-        return (self.get("cells", role) or "").strip() or None
+        i, cells = self.roles.get(role), self.line["cells"]
+        return (cells[i] or "").strip() or None if i is not None and i < len(cells) else None
+
+    def number(self, role: str) -> Decimal | None:
+        return amount(self.text(role))
+
+    def quantity(self) -> Decimal | None:
+        return amount(quantity(self.text("qty"))[0])
 
     def description(self) -> str | None:
         """The goods' name, None where the line has none."""
@@ -284,12 +333,12 @@ class Row:
         return text if text and re.search("[A-Za-z]{2}", text) and not totals_label(text) else None
 
     def unit(self) -> str | None:
-        unit = self.get("unit_words", "qty") or self.text("uom") or self.line["uom"]
+        unit = quantity(self.text("qty"))[1] or self.text("uom") or self.line["uom"]
         return unit and unit.upper()
 
     def weight(self, role: str) -> Decimal | None:
         """Kilograms; a printed unit that isn't known gives none."""
-        value, unit = self.get("numbers", role), self.get("weight_units", role)
+        value, unit = self.number(role), weight_unit(self.text(role))
         if value is None or unit is None:
             return None
         unit = re.sub("[^A-Z]", "", (unit or dict(self.line["units"] or {}).get(role) or "KG").upper())
@@ -303,13 +352,14 @@ def packing_row(line: dict) -> dict | None:
     if that is whole, else the number of packages that the carton numbers name.
     """
     row = Row(line)
-    name, qty, each = row.description(), row.get("amounts", "qty"), row.get("numbers", "qty_per_pkg")
+    name, qty, each = row.description(), row.quantity(), row.number("qty_per_pkg")
     gross, net, weight = (row.weight(x) for x in ("gross_wt", "net_wt", "wt_any"))
-    cartons = row.get("numbers", "ctn")
+    cartons = row.number("ctn")
     if cartons is None and qty is not None and each and each > 0 and qty % each == 0:
         cartons = qty / each
-    if cartons is None and row.get("counts", "ctn_no") is not None:
-        cartons = Decimal(row.get("counts", "ctn_no"))
+    if cartons is None:
+        named = packages(row.text("ctn_no"))
+        cartons = None if named is None else Decimal(named)
     if name is None or all(x is None for x in (qty, gross, net, weight, cartons)):
         return None
     return {"description": name, "qty": qty, "unit": row.unit(), "gross": gross, "net": net, "weight": weight, "cartons": None if cartons is None else cartons.quantize(CENT, ROUND_HALF_UP), "carton_no": row.text("ctn_no")}
@@ -323,19 +373,19 @@ def invoice_row(line: dict) -> dict | None:
     quantity, the columns are misread and the row is none; otherwise, if amount by price is whole, that is the quantity (derived).
     """
     row = Row(line)
-    name, printed, price = row.description(), row.get("amounts", "qty"), row.get("numbers", "price")
-    amount, taxable = row.get("numbers", "total"), row.get("numbers", "taxable")
-    total = amount if taxable is None else taxable
+    name, printed, price = row.description(), row.quantity(), row.number("price")
+    product_value, taxable = row.number("total"), row.number("taxable")
+    total = product_value if taxable is None else taxable
     if name is None or not printed or printed <= 0 or not total or total <= 0:
         return None
     qty = printed
     if price is not None:
         near = lambda v: v is not None and abs(printed * price - v) <= printed * HALF_CENT + CENT
-        if not near(amount) and not near(taxable):
-            others = {v for v, x in zip(line["numbers"], line["cells"], strict=True) if v is not None and v > 0 and not re.search("[A-Za-z]", x)} - {printed, price, amount, taxable}
-            if price <= 0 or not amount or amount <= 0 or amount % price or any(map(near, others)):
+        if not near(product_value) and not near(taxable):
+            others = {amount(x) for x in line["cells"] if not re.search("[A-Za-z]", x)} - {None, printed, price, product_value, taxable}
+            if price <= 0 or not product_value or product_value <= 0 or product_value % price or any(v > 0 and near(v) for v in others):
                 return None
-            qty = amount / price
+            qty = product_value / price
     return {"description": name, "qty": qty, "unit": row.unit(), "price": price, "total": total, "derived": qty != printed}
 
 
@@ -344,13 +394,17 @@ PACKING = {"description": pa.string(), "qty": _NUMBER, "unit": pa.string(), "gro
 INVOICE = {"description": pa.string(), "qty": _NUMBER, "unit": pa.string(), "price": _NUMBER, "total": _NUMBER, "derived": pa.bool_()}
 
 
-def rows_of(lines: DataFrame, invoice: bool) -> DataFrame:
-    """Lines (with numbers, under their header) that are goods rows, with what the row's cells say, without the cells.
+def _fitted(value, kind: pa.DataType):
+    """A decimal rounded to its column's places, null where it is too large for it."""
+    if not isinstance(value, Decimal):
+        return value
+    return value.quantize(Decimal(1).scaleb(-kind.scale), ROUND_HALF_UP) if abs(value) < Decimal(10) ** (kind.precision - kind.scale - 1) else None
 
-    Cells are read by Spark's own functions; a row is then decided from their values by its roles.
-    """
+
+def rows_of(lines: DataFrame, invoice: bool) -> DataFrame:
+    """Lines under their header that are goods rows, with what the row's cells say, without the cells."""
     judge, kinds = (invoice_row, INVOICE) if invoice else (packing_row, PACKING)
-    used = ("cells", "roles", "units", "uom", *READ)
+    used = ("cells", "roles", "units", "uom")
     kept = [f for f in lines.schema.fields if f.name not in (*used, "n_cols")]
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +412,7 @@ def rows_of(lines: DataFrame, invoice: bool) -> DataFrame:
             names = [x for x in used if x in batch.schema.names]
             found = [judge(dict(zip(names, x, strict=True)) | ({"units": None} if "units" not in names else {})) for x in zip(*(batch.column(n).to_pylist() for n in names), strict=True)]
             at = pa.array([i for i, x in enumerate(found) if x is not None], pa.int64())
-            values = [pa.array([x[k] for x in found if x is not None], t) for k, t in kinds.items()]
+            values = [pa.array([_fitted(x[k], t) for x in found if x is not None], t) for k, t in kinds.items()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(at) for f in kept), *values], names=[*(f.name for f in kept), *kinds])
 
     of = lambda t: f"decimal({t.precision},{t.scale})" if pa.types.is_decimal(t) else "boolean" if pa.types.is_boolean(t) else "string"

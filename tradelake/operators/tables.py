@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import descriptions as d, headers as h
 
@@ -33,22 +33,8 @@ def under_headers(lines: DataFrame, document: Sequence[str], order: Sequence[str
 
 
 def put_right(lines: DataFrame) -> DataFrame:
-    """Lines with their numbers and `shift`: NONE, REALIGNED (cells and numbers are those put right), or SHORT (by one or two cells, and no single place proved)."""
-    read = h.with_numbers(lines)
-    found = read.withColumn("_at", h.realigned_at(F.col("cells"), F.col("numbers"), F.col("roles"), F.col("n_cols")))
-    short = F.coalesce((F.col("n_cols") - F.size("cells")).between(1, 2), F.lit(False))
-    shift = F.when(F.col("_at").isNotNull(), "REALIGNED").when(short, "SHORT").otherwise("NONE")
-
-    def filled(column: str, blank: Column) -> Column:
-        values = F.col(column)
-        put = F.concat(F.slice(values, F.lit(1), F.col("_at")), F.array(blank), F.slice(values, F.col("_at") + 1, F.size(values)), F.array_repeat(blank, F.col("n_cols") - F.size(values) - 1))
-        return F.when(F.col("_at").isNotNull(), put).otherwise(values).alias(column)
-
-    nothing = F.lit(None)
-    number = nothing.cast("decimal(18,4)")
-    others = [c for c in lines.columns if c != "cells"]
-    blank = {"numbers": number, "amounts": number, "unit_words": nothing.cast("string"), "weight_units": nothing.cast("string"), "counts": nothing.cast("long")}
-    return found.select(*others, filled("cells", F.lit("")), *(filled(x, blank[x]) for x in h.READ), shift.alias("shift"))
+    """Lines under a header with `shift`, short ones put right where their numbers prove the place."""
+    return h.put_right(lines)
 
 
 def packing_rows(lines: DataFrame) -> DataFrame:
@@ -58,7 +44,7 @@ def packing_rows(lines: DataFrame) -> DataFrame:
 
 def invoice_rows(lines: DataFrame) -> DataFrame:
     """The goods rows of invoices that their own numbers confirm, under their headers."""
-    return h.rows_of(h.with_numbers(lines.where("roles is not null and size(cells) = n_cols")), invoice=True)
+    return h.rows_of(lines.where("roles is not null and size(cells) = n_cols"), invoice=True)
 
 
 def by_memory(lines: DataFrame, page: Sequence[str], layouts: DataFrame) -> DataFrame:
@@ -68,7 +54,7 @@ def by_memory(lines: DataFrame, page: Sequence[str], layouts: DataFrame) -> Data
     so a page meets as many layouts as are remembered for its widths. The best has most confirmed rows on the page (LEAST_ROWS at least),
     then most ever, then the first name. Pages that none reads are left out.
     """
-    tried = h.with_numbers(lines).withColumn("n_cols", F.size("cells")).join(layouts.select("layout", "roles", "uom", "n_cols", F.col("confirmed").alias("_ever")), "n_cols")
+    tried = lines.withColumn("n_cols", F.size("cells")).join(layouts.select("layout", "roles", "uom", "n_cols", F.col("confirmed").alias("_ever")), "n_cols")
     read = h.rows_of(tried, invoice=True).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*page, "layout")))
     best = Window.partitionBy(*page).orderBy(F.desc("_n"), F.desc("_ever"), "layout")
     return read.where(F.col("_n") >= LEAST_ROWS).withColumn("_rank", F.dense_rank().over(best)).where("_rank = 1").drop("_n", "_rank", "_ever")

@@ -98,7 +98,7 @@ def _remembered(s, d):
     seen = t.under_headers(t.lines_of(_invoice_pages(s, d).where("l_orderkey % 2 = 0"), ["l_orderkey"]), ["l_orderkey"], ["line"])
     name = F.array_join(F.transform(F.array_sort(F.map_entries("roles")), lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
     seen = seen.where("roles is not null and size(cells) = n_cols").withColumn("layout", name).withColumn("remembered", F.struct("roles", "uom", "n_cols"))
-    good = h.rows_of(h.with_numbers(seen), invoice=True)
+    good = h.rows_of(seen, invoice=True)
     layouts = good.groupBy("layout").agg(F.first("remembered").alias("x"), F.count("*").alias("confirmed")).select("layout", "x.*", "confirmed")
     bare = t.lines_of(_invoice_pages(s, d, header=False).where("l_orderkey % 2 = 1"), ["l_orderkey"])
     x = t.by_memory(bare, ["l_orderkey"], layouts)
