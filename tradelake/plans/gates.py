@@ -10,6 +10,7 @@ from ..operators.matching import greedy
 from ..operators.relational import best_row, limited
 from ..sources.tables import ITEMS_SQL, items, read
 from .allocation import _TOTAL, _lr_sql, _with_total
+from .goods import GREEDY_SQL
 
 
 def _ceilings(s, d):
@@ -169,11 +170,11 @@ SELECT event_id, user_id, n_day, n_week, greatest(CASE WHEN n_day >= 3 THEN grea
     "authority_ladder": (_authority, f"WITH {ITEMS_SQL}, x AS (SELECT *, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS rung FROM items) SELECT l_orderkey, rung, ord::INTEGER AS ord, cents FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY rung, cents DESC, ord) AS r FROM x) WHERE r = 1"),
     "waybill_score": (_waybill, """WITH x AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 40 ELSE 0 END + CASE WHEN o_orderpriority LIKE '1%' THEN 30 ELSE 0 END + CASE WHEN o_totalprice > 200000 THEN 20 ELSE 0 END AS score FROM orders),
 y AS (SELECT *, lead(score) OVER w AS next, row_number() OVER w AS place FROM x WINDOW w AS (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey)) SELECT o_custkey, o_orderkey, score, next IS NULL OR score - next >= 30 AS taken FROM y WHERE place = 1"""),
-    "match_greedy_similarity": (_similar, None),
+    "match_greedy_similarity": (_similar, GREEDY_SQL),
     "declaration_gates": (_declaration, f"""WITH {ITEMS_SQL}, p AS (SELECT l_orderkey AS o_orderkey, sum(cents) AS goods, count(*) FILTER (WHERE s_suppkey IS NULL) AS unknown FROM items LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) ON l_suppkey = s_suppkey GROUP BY 1),
 x AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS total, goods, unknown, c_custkey AS buyer FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey LEFT JOIN p USING (o_orderkey))
 SELECT o_orderkey, concat_ws(',', CASE WHEN goods IS NULL THEN 'NO_ITEMS' END, CASE WHEN buyer IS NULL THEN 'BUYER_UNKNOWN' END, CASE WHEN unknown > 0 THEN 'SUPPLIER_UNKNOWN' END, CASE WHEN abs(goods - total) > 5 THEN 'SUM_MISMATCH' END) AS codes, goods IS NOT NULL AND buyer IS NOT NULL AS ready FROM x"""),
     "invoice_row_confirm": (_confirm, f"""WITH {ITEMS_SQL}, x AS (SELECT *, l_quantity::BIGINT AS q FROM items), y AS (SELECT *, cents // q AS price, CASE WHEN ord % 4 = 0 THEN q + 1 ELSE q END AS printed FROM x), z AS (SELECT *, abs(printed * price - cents) * 1000 <= cents * 5 + 1000 AS fits FROM y)
 SELECT l_orderkey, ord, CASE WHEN fits THEN printed WHEN cents % price = 0 THEN cents // price END AS quantity, CASE WHEN fits THEN 'PRINTED' WHEN cents % price = 0 THEN 'DERIVED' ELSE 'REJECTED' END AS verdict FROM z"""),
-    "xml_struct": (_xml, None),
+    "xml_struct": (_xml, f"""WITH {ITEMS_SQL} SELECT l_orderkey, string_agg('<item>' || chr(10) || '    <sequence>' || ord || '</sequence>' || chr(10) || '    <code>' || l_partkey || '</code>' || chr(10) || '    <amount>' || (cents // 100) || '.' || lpad((cents % 100)::VARCHAR, 2, '0') || '</amount>' || chr(10) || '</item>', chr(10) ORDER BY ord) AS items FROM items GROUP BY 1"""),
 }

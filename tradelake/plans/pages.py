@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import headers as h
-from ..operators import tables as t
+from ..operators import evidence as e, references as r, tables as t
 from ..sources.tables import ITEMS_SQL, items, read
 
 # headers as documents print them, and the columns of their roles, worked out by hand
@@ -113,6 +113,41 @@ def _carried(s, d):
     return lines.groupBy("l_orderkey", "page").agg(F.count("*").alias("lines"), F.count_if(F.col("n_cols") == F.size("cells")).alias("fitting"))
 
 
+def _filled(s, d):
+    """Declaration headers whose empty codes and bills of lading are filled from each order's pages."""
+    key = F.col("o_orderkey").cast("string")
+    code = lambda first: F.concat(F.lit(first), F.lpad(key, 12, "0"))
+    k = F.col("o_orderkey")
+    one = F.concat_ws("\n", F.concat(F.lit("Shipper: Clerk "), key), F.when(k % 2 == 0, F.concat(F.lit("IEC No: "), code("A"))), F.concat(F.lit("| Consignee | customer "), F.col("o_custkey").cast("string"), F.lit(" |")), F.lit("| EXIM CODE |"), F.concat(F.lit("| "), code("9"), F.lit(" |")), F.lit("Blower Fan 84145900"))
+    two = F.concat_ws("\n", F.when(k % 3 == 0, F.concat(F.lit("B/L NO: HLCU"), key)), F.concat(F.lit("Shipped on board date: "), F.date_format("o_orderdate", "dd-MMM-yyyy")), F.lit("EXIM CODE: 7777777777777"))
+    o = read(s, d, "orders")
+    pages = o.select("o_orderkey", F.lit(1).alias("page"), one.alias("text")).unionByName(o.select("o_orderkey", F.lit(2).alias("page"), two.alias("text")))
+    none = F.lit(None).cast("string")
+    headers = o.select("o_orderkey", F.when(k % 5 == 0, "KEPT").otherwise(" ").alias("importer_code"), none.alias("exporter_code"), F.when(k % 7 == 0, "HELD").alias("lading"), none.alias("lading_date"))
+    return r.backfilled(headers, r.found_in(pages, "o_orderkey"), "o_orderkey").withColumn("notes", F.array_join("notes", " "))
+
+
+def _honest(s, d):
+    """Items read from pages of four lines each: some lines are continuations that print a code alone, and some of their rows claim values all the same."""
+    x = items(s, d).withColumn("page", F.expr("ord div 4")).withColumn("code", F.concat(F.lit("PX"), F.lpad(F.col("l_partkey").cast("string"), 5, "0"), F.lit("Z"), F.col("ord").cast("string")))
+    bare = F.col("ord") % 3 == 0
+    price = F.expr("cast(cents / 100 as decimal(18,2))").cast("string")
+    line = F.when(bare, F.concat(F.lit("|  | "), F.col("code"), F.lit(" Lot 7 "), F.when(F.col("ord") % 2 == 0, F.col("cents").cast("string")).otherwise(""), F.lit(" |  |  |"))).otherwise(F.concat(F.lit("| 1 | "), F.col("code"), F.lit(" | 4 | EA | "), price, F.lit(" |")))
+    pages = x.groupBy("l_orderkey", "page").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    rows = x.select("l_orderkey", "page", F.col("ord").alias("row"), F.lit(None).cast("string").alias("line_no"), F.col("code").alias("model"), F.lit("goods").alias("description"), F.lit("4").alias("qty"), F.when(F.col("ord") % 5 > 0, price).alias("price"), F.lit(None).cast("string").alias("total"))
+    return e.neutralized(rows, pages, "l_orderkey").select("l_orderkey", F.col("row").alias("ord"), "price", "invented")
+
+
+def _quoted(s, d):
+    """Quotes against the text they are said to come from: copied in capitals, with half of the words changed, made up, and of a page that isn't there."""
+    x = read(s, d, "documents").where("text is not null").select("doc_id", F.lit(1).alias("page"), "text")
+    words = F.slice(F.split("text", " "), 1, 8)
+    k = F.col("doc_id") % 4
+    quote = F.when(k == 0, F.upper(F.array_join(words, "   "))).when(k == 1, F.array_join(F.transform(words, lambda w, i: F.when(i % 2 == 0, w).otherwise(F.lit("qqqxq"))), " ")).when(k == 2, "qqqxq zzzyz vvvwv").otherwise(F.lit(""))
+    quotes = x.select("doc_id", F.when(k == 3, 2).otherwise(1).alias("page"), quote.alias("quote"))
+    return e.evidence(quotes, x, "doc_id").select("doc_id", "page", "verdict")
+
+
 _P = f"""{ITEMS_SQL}, x AS (SELECT *, ord % 4 + 2 AS each, l_quantity::BIGINT AS n, (ord % 4 + 2) * l_quantity::BIGINT + CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS stated, ord + 1 AS line FROM items)"""
 _I = f"""{ITEMS_SQL}, y AS (SELECT *, l_quantity::BIGINT AS q, cents // l_quantity::BIGINT AS price FROM items), x AS (SELECT *, price * q + CASE WHEN ord % 9 = 0 AND q > 1 AND price > 9 THEN price - 1 ELSE 0 END AS amount, CASE WHEN ord % 4 = 0 THEN q + 3 ELSE q END AS printed FROM y),
 m AS (SELECT *, amount - amount // 20 AS taxable, l_orderkey % 3 = 2 AS third FROM x), f AS (SELECT *, printed * price AS product, 2 * abs(printed * price - amount) <= printed + 2 OR third AND 2 * abs(printed * price - taxable) <= printed + 2 AS meets FROM m),
@@ -127,6 +162,14 @@ ord || '-' || (ord + 1) || '|Part no ' || l_partkey || CASE WHEN l_partkey % 3 =
 FROM x WHERE NOT (ord % 5 = 0 AND l_partkey % 3 = 0)"""),
     "invoice_rows": (_confirmed, f"WITH {_I} SELECT l_orderkey, ord::INTEGER AS line, qty, price, total, derived FROM r"),
     "layout_by_memory": (_remembered, f"""WITH {_I} SELECT l_orderkey, CASE WHEN any_value(third) THEN '{_LAYOUTS[1]}' ELSE '{_LAYOUTS[0]}' END AS layout, count(*) AS rows, sum(total)::BIGINT AS total FROM r WHERE l_orderkey % 2 = 1 GROUP BY 1 HAVING count(*) >= {t.LEAST_ROWS}"""),
+    "fragment_values": (_honest, f"""WITH {ITEMS_SQL} SELECT l_orderkey, ord, CASE WHEN ord % 5 > 0 AND NOT (ord % 3 = 0 AND ord % 2 = 1) THEN (cents / 100)::DECIMAL(18,2)::VARCHAR END AS price, ord % 5 > 0 AND ord % 3 = 0 AND ord % 2 = 1 AS invented FROM items"""),
+    "evidence_check": (_quoted, """WITH x AS (SELECT doc_id, doc_id % 4 AS k, trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g')) AS t, string_split(text, ' ')[1:8] AS ws FROM documents WHERE text IS NOT NULL),
+q AS (SELECT *, CASE k WHEN 0 THEN array_to_string(ws, ' ') WHEN 1 THEN array_to_string(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i % 2 = 1 THEN ws[i] ELSE 'qqqxq' END), ' ') WHEN 2 THEN 'qqqxq zzzyz vvvwv' ELSE '' END AS raw FROM x),
+n AS (SELECT *, trim(regexp_replace(strip_accents(lower(raw)), '\\s+', ' ', 'g')) AS quote FROM q), w AS (SELECT *, list_filter(string_split(quote, ' '), lambda y: length(y) > 2) AS words FROM n)
+SELECT doc_id, CASE WHEN k = 3 THEN 2 ELSE 1 END AS page, CASE WHEN k = 3 THEN 'OUTSIDE' WHEN quote = '' OR contains(t, quote[1:40]) OR len(words) > 0 AND 2 * len(list_filter(words, lambda y: contains(t, y))) >= len(words) THEN 'OK' ELSE 'NOT_FOUND' END AS verdict FROM w"""),
+    "reference_backfill": (_filled, """WITH x AS (SELECT o_orderkey AS k, lpad(o_orderkey::VARCHAR, 12, '0') AS code, strftime(o_orderdate::DATE, '%d-%b-%Y') AS day FROM orders)
+SELECT k AS o_orderkey, CASE WHEN k % 5 = 0 THEN 'KEPT' ELSE '9' || code END AS importer_code, CASE WHEN k % 2 = 0 THEN 'A' || code END AS exporter_code, CASE WHEN k % 7 = 0 THEN 'HELD' WHEN k % 3 = 0 THEN 'HLCU' || k END AS lading, day AS lading_date,
+concat_ws(' ', CASE WHEN k % 5 <> 0 THEN 'importer_code@1=9' || code END, CASE WHEN k % 2 = 0 THEN 'exporter_code@1=A' || code END, CASE WHEN k % 7 <> 0 AND k % 3 = 0 THEN 'lading@2=HLCU' || k END, 'lading_date@2=' || day) AS notes FROM x"""),
     "page_header_carried": (_carried, f"""WITH {ITEMS_SQL}, l AS (SELECT l_orderkey, ord AS n FROM items UNION ALL SELECT l_orderkey, max(ord) + 1 FROM items GROUP BY 1)
 SELECT l_orderkey, (n // 4)::INTEGER AS page, count(*) AS lines, count(*) AS fitting FROM l GROUP BY 1, 2"""),
 }
