@@ -76,6 +76,10 @@ def _band_pick(s, d):
     return best_row(x, ["p_partkey"], order).select("p_partkey", "code", F.col("points").cast("long").alias("half_points"), (~F.col("hit")).alias("fallback"))
 
 
+#: Characters by which names that hold one another are dealt.
+GRAM = 6
+
+
 def _bank(s, d):
     """A printed SWIFT code and bank name resolved: whole code, its first eight, these with XXX, a stored code's first eight, the name, then a name that holds the other."""
     swift = F.upper(F.substring(F.md5(F.col("n_name")), 1, 8))
@@ -92,11 +96,15 @@ def _bank(s, d):
     found = x.where("base is not null").select("s_suppkey", rungs[0][0].alias("r")).select("s_suppkey", "r.rung", "r.stored").join(rungs[0][1], "stored").select("s_suppkey", "rung", "n_nationkey")
     eight = x.where("base is not null").select("s_suppkey", b8.alias("e")).join(known.select("n_nationkey", F.substring("stored", 1, 8).alias("e")), "e").select("s_suppkey", F.lit(4).alias("rung"), "n_nationkey")
     named = x.where("key <> ''").join(known.select("n_nationkey", F.col("name_key").alias("key")), "key").select("s_suppkey", F.lit(5).alias("rung"), "n_nationkey")
-    # a bank list is a fixed dimension (25 rows here); it is broadcast only while it is short
-    few = F.broadcast(known) if known.count() <= 10_000 else known
-    holds = (F.char_length("key") > 5) & (F.col("key").contains(F.col("name_key")) | F.col("name_key").contains(F.col("key")))
-    fuzzy = x.where("key <> ''").join(few, holds).select("s_suppkey", F.lit(6).alias("rung"), "n_nationkey")
-    best = best_row(found.unionByName(eight).unionByName(named).unionByName(fuzzy), ["s_suppkey"], [F.col("rung"), F.col("n_nationkey")])
+    early = found.unionByName(eight).unionByName(named)
+    # only what no rung before resolved goes on; a name that holds another one holds its first GRAM characters, by which they are dealt
+    rest = x.where(F.char_length("key") > 5).join(early.select("s_suppkey").distinct(), "s_suppkey", "left_anti").select("s_suppkey", "key")
+    pieces = lambda text, sizes: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.transform(F.array(*map(F.lit, sizes)), lambda n: F.substr(text, i, n)))))).alias("gram")
+    within = rest.select("s_suppkey", "key", pieces(F.col("key"), range(1, GRAM + 1))).join(known.select("n_nationkey", "name_key", F.substring("name_key", 1, GRAM).alias("gram")), "gram")
+    around = rest.select("s_suppkey", "key", F.substring("key", 1, GRAM).alias("gram")).join(known.select("n_nationkey", "name_key", pieces(F.col("name_key"), [GRAM])), "gram")
+    holds = F.col("key").contains(F.col("name_key")) | F.col("name_key").contains(F.col("key"))
+    fuzzy = within.unionByName(around).where(holds).select("s_suppkey", F.lit(6).alias("rung"), "n_nationkey").distinct()
+    best = best_row(early.unionByName(fuzzy), ["s_suppkey"], [F.col("rung"), F.col("n_nationkey")])
     state = F.when(F.col("rung") <= 3, "SWIFT").when(F.col("rung") == 4, "SWIFT_BASE8").when(F.col("rung") == 5, "NAME_EXACT").when(F.col("rung") == 6, "NAME_FUZZY").otherwise("UNRESOLVED")
     return x.select("s_suppkey").join(best, "s_suppkey", "left").select("s_suppkey", "n_nationkey", state.alias("state"))
 
