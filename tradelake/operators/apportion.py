@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -186,14 +185,22 @@ def with_bounds(df: DataFrame, group: Sequence[str], order: Sequence[str], basis
     is over. A floor binds as in with_floors. A group that its floors exceed, or whose ceilings can't take its total, has no split:
     its shares are null. A group's items (four numbers each) are in one task; null floors are 0.
     """
-    def split(table: pa.Table) -> pa.Table:
-        at = pc.sort_indices(table, [(c, "ascending") for c in order])
-        table = table.take(at)
-        column = lambda c: table.column(c).to_pylist()
-        shares = _bounded(column("_total")[0], column("_basis"), column("_floor"), column("_ceiling"))
-        return table.drop_columns(["_total", "_basis", "_floor", "_ceiling"]).append_column("_out", pa.array(shares or [None] * table.num_rows, pa.int64()))
-
     numbers = {"_total": F.col(total), "_basis": F.coalesce(F.greatest(F.col(basis), F.lit(0)), F.lit(0)), "_floor": F.coalesce(F.col(floor), F.lit(0)), "_ceiling": F.col(ceiling)}
-    given = df.withColumns({k: v.cast("long") for k, v in numbers.items()})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return given.groupBy(*group).applyInArrow(split, f"{schema}, _out long").withColumnRenamed("_out", out)
+    item = F.struct(*(F.col(x).alias(f"_{k}") for k, x in enumerate(order)), *(v.cast("long").alias(k) for k, v in numbers.items()), F.struct(*(F.col(f"`{x}`") for x in df.columns)).alias("_row"))
+    groups = df.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("items")).select("items")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column("items")
+            flat, out = items.flatten(), []
+            values = [flat.field(k).to_pylist() for k in ("_total", "_basis", "_floor", "_ceiling")]
+            at = 0
+            for n in items.value_lengths().to_pylist():
+                totals, bases, floors, ceilings = (x[at : at + n] for x in values)
+                out.append(_bounded(totals[0], bases, floors, ceilings) or [None] * n)
+                at += n
+            yield pa.RecordBatch.from_arrays([items, pa.array(out, pa.list_(pa.int64()))], names=["items", "shares"])
+
+    schema = f"items {groups.schema['items'].dataType.simpleString()}, shares array<bigint>"
+    each = groups.mapInArrow(split, schema).select(F.explode(F.arrays_zip("items", "shares")).alias("x"))
+    return each.select("x.items._row.*", F.col("x.shares").alias(out))
