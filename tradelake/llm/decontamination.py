@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, then longest common subsequences.
 
 Texts are cut in passages of WINDOW words. Words are hashed to TERMS columns; their counts over all
-texts give inverse frequencies, and one pass gives A'(A R) for the weighted matrix A of a sample of about SAMPLE
+texts give inverse frequencies, and one pass gives A'(A R) for the weighted matrix A of all
 passages and a fixed random R of RANK columns: a randomised singular value decomposition whose basis is
-small whatever the corpus. Frequencies count all texts, and every passage is searched. Each passage (by running sums, half a passage apart) and each benchmark item is
+small whatever the corpus. Every passage is searched. Each passage (by running sums, half a passage apart) and each benchmark item is
 a RANK vector; pairs of cosine COSINE or more are candidates. As no cosine is sure for every length and
 alignment, stretches that hold as many of an item's rarest words as any leak must are candidates too
 (a bound by count, which loses none). For these the words of stretches little
@@ -34,8 +34,6 @@ from . import anchors, scratch, textops as t
 #: and are made of runs of STEP words.
 WINDOW, SHORT_WINDOW, SHORT_ITEM, STEP = 40, 20, 28, 10
 TERMS, RANK = 1 << 14, 48
-#: Passages that the basis is fitted on (of larger corpora about so many, by a hash of id and place).
-SAMPLE = 100_000
 #: Words whose vectors are in memory at once, in a batch of texts.
 BATCH = 20_000
 COSINE = 0.58
@@ -101,26 +99,18 @@ def inverse_frequencies(found: DataFrame) -> np.ndarray:
 
 
 def basis(found: DataFrame, idf: np.ndarray, seed: int = 3) -> np.ndarray:
-    """An orthonormal basis (TERMS x RANK) of the range of A'A R over a sample of passages."""
-    words = found.agg(F.sum(F.octet_length("t") / 2)).first()[0] or 0
-    share = min(1.0, SAMPLE * WINDOW / max(1.0, words))
+    """An orthonormal basis (TERMS x RANK) of the range of A'A R over all passages."""
     sketch = np.random.default_rng(seed).standard_normal((TERMS, RANK)).astype(np.float32) * idf[:, None].astype(np.float32)
     shared = found.sparkSession.sparkContext.broadcast(sketch)  # TERMS * RANK floats, 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((TERMS, RANK))
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for first, last, at, bounds in _batches(batch.column("t"), BATCH):
-                heads, count = _heads(bounds, WINDOW)
-                sizes = np.diff(np.append(heads, len(at)))
-                row = np.repeat(np.arange(first, last), count)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                picked = t.mix(t.mix(ids[row].astype(U)) + place.astype(U)) >> U(11) < U(int(share * 2**53))
-                if not picked.any():
+            for _, _, at, bounds in _batches(batch.column("t"), BATCH):
+                if not len(at):
                     continue
-                at, sizes = at[np.repeat(picked, sizes)], sizes[picked]
-                heads = np.cumsum(sizes) - sizes
+                heads, _ = _heads(bounds, WINDOW)
+                sizes = np.diff(np.append(heads, len(at)))
                 passages = np.add.reduceat(shared.value[at], heads, axis=0)
                 passages /= np.linalg.norm(passages, axis=1, keepdims=True) + np.float32(1e-9)
                 order = np.argsort(at, kind="stable")  # 16-bit terms: a radix sort
@@ -131,7 +121,7 @@ def basis(found: DataFrame, idf: np.ndarray, seed: int = 3) -> np.ndarray:
 
     sums = F.array(*(F.sum(F.element_at("y", i + 1)) for i in range(RANK)))
     product = np.zeros((TERMS, RANK))
-    for r in found.select("doc_id", "t").mapInArrow(run, "term long, y array<double>").groupBy("term").agg(sums.alias("y")).collect():  # TERMS rows
+    for r in found.select("t").mapInArrow(run, "term long, y array<double>").groupBy("term").agg(sums.alias("y")).collect():  # TERMS rows
         product[r.term] = r.y
     left, size, _ = np.linalg.svd(product * idf[:, None], full_matrices=False)
     # the first directions tell languages and common words; equal scales let the others speak
