@@ -8,8 +8,9 @@ window only toxic text explains. Windows are too short for a dictionary's entrop
 out. The differences' mean, largest and shares above thresholds go through a calibration fitted on
 labelled rows that trained neither dictionary.
 
-Learning takes at most SAMPLE rows of each class, of texts up to 64 KB; dictionaries are some kB and go to each task with
-the function. Scoring reads whole texts.
+Learning takes all labelled rows and whole texts: grams are counted by aggregation, pieces of text are dealt to
+groups of PART_BYTES that train a larger dictionary each, of which dictionaries are trained again until one is left, and
+the calibration's sums are added up over the rows. Dictionaries are some kB and go to each task with the function.
 
 Results for unusual input: null and blank texts have no window and score as a text of no difference.
 Without both labels among the rows to learn from, every text scores the share of toxic rows (0 if there
@@ -19,18 +20,23 @@ are no rows). Each row of docs is scored alone, so repeated rows agree.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from . import labelled, textops as t
+from . import labelled, scratch, textops as t
 
-#: Most labelled rows of each class that are learned from.
-SAMPLE = 1500
+#: Text that a dictionary is trained on at once, and how many times larger one is that others are trained on.
+PART_BYTES, WIDER = 8 << 20, 4
+#: Words of a piece of ordinary text, and bytes of one of a dictionary that others are trained on.
+PIECE_WORDS, PIECE_BYTES = 40, 256
+#: Grams and words that a task remembers.
+MOST_KNOWN = 200_000
 WINDOW, STEP = 10, 9
 ORDINARY_BYTES, TOXIC_BYTES = 2048, 1024
 #: Lengths of the grams by which toxic spans are told, and how frequent such grams are.
@@ -51,6 +57,10 @@ def windows(buf: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndarray]
     return [raw[a:b] for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)], count
 
 
+def _low(text: bytes) -> bytes:
+    return t.lower(np.frombuffer(text, np.uint8)).tobytes()
+
+
 def _grams(text: bytes) -> set[bytes]:
     out: set[bytes] = set()
     for word in set(text.split()):
@@ -60,9 +70,48 @@ def _grams(text: bytes) -> set[bytes]:
     return out
 
 
-def telling(have: dict[int, Counter], toxic: int, ordinary: int) -> set[bytes]:
+def _counted(texts: DataFrame, of: Callable[[], Callable[[bytes], set[bytes]]]) -> DataFrame:
+    """gram, n: in how many texts it stands, by what `of` makes of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, have = of(), Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(have), pa.binary()), pa.array(list(have.values()), pa.int64())], names=["gram", "n"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                have.update(grams(_low(text)))
+                if len(have) > MOST_KNOWN:
+                    yield out()
+                    have.clear()
+        yield out()
+
+    return texts.select("text").mapInArrow(run, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def telling(rows: DataFrame, toxic: int, ordinary: int) -> set[bytes]:
     """Grams in at least SHARE of the toxic texts, RATIO times as often as in ordinary ones."""
-    return {g for g, k in have[1].items() if k >= max(4, toxic * SHARE) and k / toxic > RATIO * (have[0][g] + 0.5) / ordinary}
+    often = {bytes(r.gram): r.n for r in _counted(rows.where("y = 1"), lambda: _grams).where(F.col("n") >= max(4, toxic * SHARE)).collect()}  # 1 / SHARE times a text's grams
+    shared = rows.sparkSession.sparkContext.broadcast(frozenset(often))
+
+    def of() -> Callable[[bytes], set[bytes]]:
+        known: dict[bytes, tuple[bytes, ...]] = {}
+
+        def grams(text: bytes) -> set[bytes]:
+            if len(known) > MOST_KNOWN:
+                known.clear()
+            found: set[bytes] = set()
+            for word in set(text.split()):
+                if word not in known:
+                    known[word] = tuple(_grams(word) & shared.value)
+                found.update(known[word])
+            return found
+
+        return grams
+
+    have = {bytes(r.gram): r.n for r in _counted(rows.where("y = 0"), of).collect()}  # some of these
+    return {g for g, k in often.items() if k / toxic > RATIO * (have.get(g, 0) + 0.5) / ordinary}
 
 
 def excerpts(texts: list[bytes], grams: set[bytes]) -> list[bytes]:
@@ -99,6 +148,48 @@ def content(texts: list[bytes], size: int) -> bytes:
         return b"\n".join(texts)[-size:]
 
 
+def _pieces(rows: DataFrame, cut: Callable[[list[bytes]], list[list[bytes]]]) -> DataFrame:
+    """h (a hash of the row), k, text: what `cut` makes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                found = cut([_low(x) for x in part.column("text").to_pylist()])
+                ids = np.repeat(part.column("h").to_numpy(), [len(x) for x in found])
+                places = [k for x in found for k in range(len(x))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array([p for x in found for p in x], pa.binary())], names=["h", "k", "text"])
+
+    return rows.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "h long, k int, text binary")
+
+
+def _by_words(texts: list[bytes]) -> list[list[bytes]]:
+    every = [x.split() for x in texts]
+    return [[b" ".join(words[i : i + PIECE_WORDS]) for i in range(0, len(words), PIECE_WORDS)] for words in every]
+
+
+def _level(pieces: DataFrame, groups: int, size: int, piece: int) -> DataFrame:
+    """h (group), k, text: the content of a dictionary for each group of pieces, in pieces."""
+
+    def train(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("k", "ascending"), ("text", "ascending")])
+        found = content(table.column("text").to_pylist(), size)
+        parts = [found[i : i + piece] for i in range(0, len(found), piece)]
+        return pa.table([pa.array([key[0].as_py()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["h", "k", "text"])
+
+    part = F.pmod(F.xxhash64("h", "k"), F.lit(groups)).alias("part")
+    return pieces.groupBy(part).applyInArrow(train, "h long, k int, text binary")
+
+
+def trained(pieces: DataFrame, total: int, size: int) -> bytes:
+    """The content of a dictionary trained on all pieces (h, k, text; total bytes or fewer), PART_BYTES at a time."""
+    while (groups := -(-total // PART_BYTES)) > 1:
+        pieces = scratch.written(_level(pieces, groups, WIDER * size, PIECE_BYTES))
+        total = groups * WIDER * size
+    found = _level(pieces, 1, size, size).first()
+    return bytes(found.text) if found else b""
+
+
 @dataclass
 class Model:
     ordinary: bytes
@@ -141,41 +232,67 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def fit_logistic(measured: DataFrame, weight: dict[int, float], ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
+    """Weights of a logistic regression of y on x (Model.features), by Newton steps whose sums are added up over all rows."""
+    n = _expanded(np.zeros((1, 5))).shape[1]
+    w = np.zeros(n)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(n * n + n)
+            for batch in batches:
+                x = _expanded(batch.column("x").flatten().to_numpy().reshape(-1, 5))
+                y = batch.column("y").to_numpy().astype(np.float64)
+                each = np.where(y == 1, weight[1], weight[0])
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                total += np.append(((x * (each * p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (each * (y - p)))
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["total"])
+
+        parts = [r.total for r in measured.select("x", "y").mapInArrow(run, "total array<double>").collect()]  # one for each task
+        return np.array([fsum(x) for x in zip(*parts, strict=True)])
+
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
-        w += np.clip(step, -2, 2)
+        total = sums(w)
+        step = np.linalg.solve(total[: n * n].reshape(n, n) + ridge * np.eye(n), total[n * n :] - ridge * w)
+        w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    rows, rates = labelled.sample(docs, labels, "toxic", 4, 2, most)
-    sample = [(r.y, t.lower(np.frombuffer(r.text.encode(), np.uint8)).tobytes()) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
-    counts = {r.y: r.n for r in rates.collect()}
-    rate = counts.get(1, 0) / max(1, sum(counts.values()))
-    two = {y: [x for z, x in sample if z == y] for y in (0, 1)}
-    if min(map(len, two.values())) < 4:
+def _measured(rows: DataFrame, model: Model) -> DataFrame:
+    """x (Model.features), y of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = model.features(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("y")], names=["x", "y"])
+
+    return rows.select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, "x array<double>, y int")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    rows, known = labelled.every(docs, labels, "toxic", 4, 2)
+    rate = known.get(1, 0) / max(1, sum(known.values()))
+    # two of three rows train the dictionaries, the others calibrate
+    trains = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)) < 2
+    rows = scratch.written(rows.select("doc_id", F.encode("text", "UTF-8").alias("text"), "y", trains.alias("trains")))
+    counts = {(r.y, r.trains): (r.n, r.size) for r in rows.groupBy("y", "trains").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
+    n = {(y, part): counts.get((y, part), (0, 0))[0] for y in (0, 1) for part in (True, False)}
+    if min(n[y, True] + n[y, False] for y in (0, 1)) < 4:
         return Model(b"", b"", [], rate)
-    train = {y: x[: max(2, len(x) * 2 // 3)] for y, x in two.items()}
-    have = {y: Counter(g for x in train[y] for g in _grams(x)) for y in (0, 1)}
-    grams = telling(have, len(train[1]), len(train[0]))
-    pieces = []
-    for x in train[0]:
-        words = x.split()
-        pieces += [b" ".join(words[i : i + 40]) for i in range(0, len(words), 40)]
-    base = content(pieces, ORDINARY_BYTES)
-    model = Model(base, content(excerpts(train[1], grams), TOXIC_BYTES) + base, [], rate)
-    rest = [(y, x) for y in (0, 1) for x in two[y][len(train[y]) :]]
-    x = model.features(pa.array([x for _, x in rest], pa.binary()))
-    y = np.array([y for y, _ in rest], float)
-    share = y.mean()
-    weight = np.where(y == 1, rate / max(share, 1e-9), (1 - rate) / max(1 - share, 1e-9))
-    model.weights = fit_logistic(_expanded(x), y, weight).tolist()
+    train, rest = rows.where("trains"), rows.where("not trains")
+    if min(n[y, True] for y in (0, 1)) < 2 or min(n[y, False] for y in (0, 1)) < 1:  # too few rows to part
+        train = rest = rows
+        n = {(y, part): n[y, True] + n[y, False] for y in (0, 1) for part in (True, False)}
+    size = sum(counts.get((0, part), (0, 0))[1] for part in ((True,) if train is not rows else (True, False)))
+    grams = telling(train, n[1, True], n[0, True])
+    shared = docs.sparkSession.sparkContext.broadcast(grams)
+    spans = scratch.written(_pieces(train.where("y = 1"), lambda texts: [excerpts([x], shared.value) for x in texts]))
+    base = trained(_pieces(train.where("y = 0"), _by_words), size, ORDINARY_BYTES)
+    model = Model(base, trained(spans, spans.agg(F.sum(F.octet_length("text"))).first()[0] or 0, TOXIC_BYTES) + base, [], rate)
+    share = n[1, False] / (n[0, False] + n[1, False])
+    model.weights = fit_logistic(scratch.written(_measured(rest, model)), {1: rate / share, 0: (1 - rate) / (1 - share)}).tolist()
     return model
 
 
