@@ -28,3 +28,11 @@ def test_quotes(spark):
     cases = [(1, "designation: steel bolt", "OK"), (1, "40 pieces of  brass", "OK"), (1, "copper tubes and rods", "NOT_FOUND"), (1, "", "OK"), (1, None, "OK"), (2, "steel", "NOT_FOUND"), (3, "steel", "OUTSIDE")]
     quotes = spark.createDataFrame([(1, p, i, q) for i, (p, q, _) in enumerate(cases)], "doc long, page long, i int, quote string")
     assert [r.verdict for r in evidence(quotes, pages, "doc").orderBy("i").collect()] == [v for _, _, v in cases]
+
+
+def test_quotes_in_capitals(spark):
+    pages = spark.createDataFrame([(1, 1, "Straßenschuhe groß, 5 µm weiß, für den Fußweg\nund für Grüße ŉ ǰ")], "doc long, page long, text string")
+    quotes = pages.selectExpr("doc", "page", "explode(array(upper(text), upper(substring(text, 1, 14)), lower(upper(text)), 'GROSSE KISTE')) as quote")
+    assert [r.verdict for r in evidence(quotes, pages, "doc").collect()] == ["OK", "OK", "OK", "NOT_FOUND"]
+    short = quotes.limit(1).selectExpr("doc", "page", "'aß qqqxq' as quote")  # two letters as printed, so the only word that counts is not found
+    assert evidence(short, pages.selectExpr("doc", "page", "'aß bß' as text"), "doc").first().verdict == "NOT_FOUND"

@@ -42,15 +42,20 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c.unaccented(text)), r"\s+", " "))
 
 
+def folded(text: Column) -> Column:
+    """Plain text in capitals, as a quote may print it: ß is SS."""
+    return c.unaccented(F.upper(text))
+
+
 def evidence(quotes: DataFrame, pages: DataFrame, document: str) -> DataFrame:
     """quotes (document, page, quote and more) with `verdict`: OK, OUTSIDE (the document has no such page) or NOT_FOUND.
 
     A quote is found if the page holds it, its first 40 characters, or half of its words of three letters and more, as scans differ
-    from print. A quote without anything in it is OK on a page that exists.
+    from print. A quote without anything in it is OK on a page that exists. Characters and letters are counted as the quote prints them.
     """
-    texts = pages.select(document, "page", plain(F.coalesce("text", F.lit(""))).alias("_page"))
+    texts = pages.select(document, "page", folded(plain(F.coalesce("text", F.lit("")))).alias("_page"))
     both = quotes.join(texts, [document, "page"], "left").withColumn("_quote", plain(F.coalesce("quote", F.lit(""))))
     words = F.filter(F.split("_quote", " "), lambda w: F.length(w) > 2)
-    held = F.size(F.filter(words, lambda w: F.contains(F.col("_page"), w)))
-    found = (F.col("_quote") == "") | F.contains(F.col("_page"), F.substring("_quote", 1, 40)) | (F.size(words) > 0) & (held >= F.size(words) * SHARE)
+    held = F.size(F.filter(words, lambda w: F.contains(F.col("_page"), folded(w))))
+    found = (F.col("_quote") == "") | F.contains(F.col("_page"), folded(F.substring("_quote", 1, 40))) | (F.size(words) > 0) & (held >= F.size(words) * SHARE)
     return both.withColumn("verdict", F.when(F.col("_page").isNull(), "OUTSIDE").when(found, "OK").otherwise("NOT_FOUND")).drop("_page", "_quote")
