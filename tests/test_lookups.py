@@ -19,7 +19,7 @@ def parts(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["hs_search_numeric"])
+@pytest.mark.parametrize("name", ["hs_band_pick", "hs_search_numeric"])
 def test_odd_parts(spark, parts, name):
     build, sql = lookups.QUERIES[name]
     got = build(spark, parts)
@@ -33,3 +33,10 @@ def test_beginnings_are_not_broadcast(spark, parts):
     """The table is small on disk; ten beginnings of each code are not."""
     plan = lookups.QUERIES["hs_search_numeric"][0](spark, parts)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan and "WindowGroupLimit" in plan
+
+
+def test_points_are_added_by_word(spark):
+    kinds = spark.createDataFrame([("1", ["ring"], ["bolt"], "a"), ("1", ["ringed", "bo"], [], "b"), ("2", ["bolt"], [], "c")], "band string, d array<string>, e array<string>, kind string")
+    asked = spark.createDataFrame([("1", ["ring", "ring", "bolt"], "x"), ("1", ["bo", "rin"], "y"), ("1", [], "z")], "band string, q array<string>, id string")
+    # one word of four characters or more begins the other: "rin" and "bo" begin nothing
+    assert {(r.id, r.kind, r.points) for r in lookups.points_met(asked, kinds).collect()} == {("x", "a", 5), ("x", "b", 4), ("y", "b", 2)}

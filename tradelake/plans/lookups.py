@@ -66,18 +66,46 @@ def _search_number(s, d):
     return found.withColumn("place", place).where(F.col("place") <= MOST_RESULTS)  # the first results are what is asked for
 
 
+def word_meets(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """q, w of the tokens asked (q) and known (w), each distinct, that are equal or of which one of four characters or more begins the other."""
+    begun = known.select("w", F.explode(starts(F.col("w"), 4)).alias("q")).join(asked, "q").select("q", "w")
+    begins = asked.select("q", F.explode(starts(F.col("q"), 4)).alias("w")).join(known, "w").select("q", "w")
+    return begun.unionByName(begins).distinct()
+
+
+def points_met(asked: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The columns of asked but q, and those of kinds but d and e, with points, for what shares a band and a word: 2 for each word of q that meets one of d, else 1 for one of e.
+
+    asked: band, q. kinds: band, d, e. Words are dealt by equality and points added up: a list is not compared with all others of its band.
+    """
+    own, others = [x for x in asked.columns if x != "q"], [x for x in kinds.columns if x not in ("d", "e")]
+    words = asked.select(*own, F.explode("q").alias("q")).groupBy(*own, "q").agg(F.count("*").alias("times"))
+    pairs = lambda x, k: F.transform(x, lambda w: F.struct(w.alias("w"), F.lit(k).alias("level")))
+    known = kinds.select(*others, F.explode(F.concat(pairs(F.col("d"), 2), pairs(F.col("e"), 1))).alias("x")).select(*others, "x.*")
+    meets = word_meets(words.select("q").distinct(), known.select("w").distinct())
+    levels = known.join(meets, "w").groupBy(*others, "q").agg(F.max("level").alias("level"))
+    return words.join(levels.hint("merge"), ["band", "q"]).groupBy(*own, *(x for x in others if x != "band")).agg(F.sum(F.col("times") * F.col("level")).alias("points"))
+
+
 def _band_pick(s, d):
     """Of the tariff codes that share four digits with an item's, the one that covers its words best (official description 1, explanation a half); below 0.34 the last code called Other, else the last."""
-    t = _tariff(s, d).join(read(s, d, "part").select("p_partkey", F.col("p_brand").alias("explanation")), "p_partkey")
+    t = _tariff(s, d).join(read(s, d, "part").select("p_partkey", F.col("p_brand").alias("explanation")).hint("merge"), "p_partkey")
     t = t.withColumn("other", F.col("p_partkey") % 7 == 0).withColumn("description", F.when(F.col("other"), "Other").otherwise(F.col("description"))).withColumn("band", F.substring("code", 1, 4))
-    t = t.select("code", "band", "other", c.meaningful_tokens(F.col("description")).alias("d"), c.meaningful_tokens(F.col("explanation")).alias("e"))
-    asked = _tariff(s, d).select("p_partkey", F.substring("code", 1, 4).alias("band"), c.meaningful_tokens(F.concat_ws(" ", "description")).alias("q"))
-    meets = lambda q, b: (q == b) | ((F.char_length(q) >= 4) & b.startswith(q)) | ((F.char_length(b) >= 4) & q.startswith(b))
-    points = F.aggregate(F.col("q"), F.lit(0), lambda a, q: a + F.when(F.exists("d", lambda b: meets(q, b)), 2).when(F.exists("e", lambda b: meets(q, b)), 1).otherwise(0))
-    x = asked.join(t, "band").withColumn("points", points).withColumn("n", F.greatest(F.lit(1), F.size("q")))
-    x = x.withColumn("hit", F.col("points") * 50 >= F.col("n") * 34)
+    words = lambda x: F.array_sort(F.array_distinct(c.meaningful_tokens(F.col(x))))
+    t = t.select("code", "band", "other", words("description").alias("d"), words("explanation").alias("e"))
+    asked = _tariff(s, d).select("p_partkey", F.substring("code", 1, 4).alias("band"), F.array_join(F.array_sort(c.meaningful_tokens(F.col("description"))), " ").alias("words"))
+    # items of a band with equal words are asked for once, and of codes with equal words the first can be the best
+    lists = asked.select("band", "words").distinct().withColumn("q", F.expr("filter(split(words, ' '), x -> x <> '')"))
+    kinds = t.groupBy("band", "d", "e").agg(F.min(F.struct("other", "code")).alias("best")).select("band", "d", "e", F.concat_ws("|", F.array_join("d", " "), F.array_join("e", " ")).alias("kind"), "best.*")
+    last = t.groupBy("band").agg(F.max(F.struct("other", "code", "d", "e")).alias("last")).select("band", "last.*")
+    n = F.greatest(F.lit(1), F.size("q"))
+    hits = points_met(lists.withColumn("n", n), kinds).where("points * 50 >= n * 34").select("band", "words", "code", "other", "points", F.lit(True).alias("hit"))
+    fallen = lists.select("band", "words").join(last.select("band", "code", "other"), "band").join(points_met(lists, last.drop("other", "code")).hint("merge"), ["band", "words"], "left")
+    fallen = fallen.select("band", "words", "code", "other", F.coalesce("points", F.lit(0)).alias("points"), F.lit(False).alias("hit"))
     order = [F.desc("hit"), F.when(F.col("hit"), -F.col("points")), F.when(F.col("hit"), F.col("other")).otherwise(~F.col("other")), F.when(F.col("hit"), F.col("code")), F.desc("code")]
-    return best_row(x, ["p_partkey"], order).select("p_partkey", "code", F.col("points").cast("long").alias("half_points"), (~F.col("hit")).alias("fallback"))
+    best = best_row(hits.unionByName(fallen), ["band", "words"], order)
+    x = best_row(asked.join(best.hint("merge"), ["band", "words"]), ["p_partkey"], order)
+    return x.select("p_partkey", "code", F.col("points").cast("long").alias("half_points"), (~F.col("hit")).alias("fallback"))
 
 
 #: Characters by which names that hold one another are dealt.
