@@ -111,3 +111,20 @@ def test_header_holds_on_over_pages(spark):
     lines = t.under_headers(t.lines_of(pages, ["doc", "page"]), ["doc"], ["page", "line"])
     assert {(r.doc, r.page): r.n_cols for r in lines.collect()} == {(1, 1): 4, (1, 2): 4, (2, 1): None}
     assert t.invoice_rows(lines).count() == 2
+
+
+def test_lines_are_read_once_and_headers_go_as_text(spark):
+    """Header lines and others come from one reading of the pages; short lines alone are looked at for a place."""
+    text = "| S.N. | Description of Goods | Qty | Rate | Amount |\n| 1 | Steel bolt | 4 | 2.50 | 10.00 |\n| 2 | Nut | 3.00 | 9.00 |\n| Total |  |  |  | 19.00 |"
+    pages = spark.createDataFrame([(1, text), (2, "| 1 | Steel bolt | 4 | 2.50 | 10.00 |")], "doc long, text string")
+    lines = t.under_headers(t.lines_of(pages, ["doc"]), ["doc"], ["line"])
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    got = {(r.doc, r.line): (r["shift"], r.roles and r.roles["desc"], len(r.cells)) for r in t.put_right(lines).collect()}
+    assert got == {(1, 1): ("NONE", 1, 5), (1, 2): ("SHORT", 1, 4), (1, 3): ("NONE", 1, 5), (2, 0): ("NONE", None, 5)}
+    assert [(r.line, r.description, float(r.qty), float(r.total)) for r in t.invoice_rows(lines).collect()] == [(1, "Steel bolt", 4.0, 10.0)]
+
+
+def test_plain_cells_read_as_before():
+    for text, value in (("007", "7"), ("1.234", "1.234"), (" 12 ", "12"), ("1234567.5", "1234567.5"), ("0.50", "0.50")):
+        assert h.amount(text) == Decimal(value)
+    assert h.amount("1.234", True) == Decimal("1234") and h.weight_unit("12.5") == "" and h.quantity("12") == ("12", None) and h.quantity("²") == (None, None)

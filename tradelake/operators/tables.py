@@ -23,10 +23,8 @@ def under_headers(lines: DataFrame, document: Sequence[str], order: Sequence[str
 
     Only lines that could be a header are looked at by the solver; a header holds on over the document's pages.
     """
-    could = h.could_be_header(F.col("cells"))
-    read = h.with_roles(lines, packing).withColumn("_h", F.struct("roles", "units", "uom", "n_cols")).select(*lines.columns, "_h")
-    blank = lines.where(~could).withColumn("_h", F.lit(None).cast(read.schema["_h"].dataType))
-    every = read.unionByName(blank).withColumn("_own", F.col("_h.roles").isNotNull())
+    read = h.with_roles(lines, packing, every=True)
+    every = read.select(*lines.columns, F.struct("roles", "units", "uom", "n_cols").alias("_h"), F.col("roles").isNotNull().alias("_own"))
     upto = Window.partitionBy(*document).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     every = every.withColumn("_last", F.last(F.when(F.col("_own"), F.col("_h")), ignorenulls=True).over(upto))
     return every.where(~F.col("_own")).select(*lines.columns, "_last.*")
