@@ -87,3 +87,19 @@ def test_subset_sums_of_many_totals(spark, tmp_path):
     got = catalogue.queries()["subset_sum_totals_gate"](spark, str(tmp_path))
     assert {x.l_orderkey: (x.n_totals, x.matched) for x in got.collect()} == want
     assert {m for n, m in want.values() if n > 8} == {True, False}
+
+
+def test_groups_of_a_margin_cross_batches(spark):
+    """Groups are taken whole from sorted batches, whatever these cut; a null group is one as well."""
+    from tradelake.operators.matching import with_margin
+
+    pairs = [(g, a, b, (a * 7 + b * 5 + len(g or "")) % 40 + 20) for g in ("x", "yy", None, "zzz") for a in range(4) for b in range(3)]
+    df = spark.createDataFrame([*pairs, ("x", 9, 9, None)], "job string, l int, r int, score int")
+    whole = sorted(map(str, with_margin(df, "job", "l", "r", "score", 8, 50).collect()))
+    plan = with_margin(df, "job", "l", "r", "score", 8, 50)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        cut = sorted(map(str, with_margin(df, "job", "l", "r", "score", 8, 50).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert cut == whole and len(whole) == 16 and "FlatMapGroupsInArrow" not in plan

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..streaming.runs import shared_folder
 
@@ -48,19 +48,20 @@ def with_margin(pairs: DataFrame, group: str, left: str, right: str, score: str,
     frozen: it gets none of the others either. A left all of whose rights went to others is TAKEN (right null). confidence is the
     score, `most` at most: a likeness is a proposal and ranks under equal names and codes. Pairs without a score have no part.
 
-    The pairs of a group are in one task, as columns; keep a group to one document's candidates.
+    The pairs of a group follow each other in one task, dealt and sorted by group; keep a group to one document's candidates.
     """
-    schema = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    schema = {f.name: f.dataType for f in pairs.schema.fields}
+    kinds = [*(to_arrow_type(schema[x]) for x in (group, left, right)), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+    names = [group, left, right, "score", "rival", "confidence", "verdict"]
 
-    def decide(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, [("_s", "descending"), (left, "ascending"), (right, "ascending")]))
-        lefts, rights, scores = (table.column(c).to_pylist() for c in (left, right, "_s"))
+    def decided(lefts: list, rights: list, scores: list) -> list[tuple]:
+        """The rows of one group; its pairs come in order."""
         of: dict = {}
         for i, a in enumerate(lefts):
             of.setdefault(a, []).append(i)
         taken: set = set()
         done: dict = {}
-        for i, (a, b, s) in enumerate(zip(lefts, rights, scores, strict=True)):
+        for a, b, s in zip(lefts, rights, scores, strict=True):
             if a in done or b in taken:
                 continue
             rival = next((scores[j] for j in of[a] if rights[j] != b and rights[j] not in taken), 0.0)  # its pairs are in order of score
@@ -69,12 +70,30 @@ def with_margin(pairs: DataFrame, group: str, left: str, right: str, score: str,
             else:
                 taken.add(b)
                 done[a] = (b, s, rival, min(s, most), "MATCHED")
-        rows = [(a, *done.get(a, (None, None, None, None, "TAKEN"))) for a in of]
-        columns = list(zip(*rows, strict=True))
-        job = pa.repeat(table.column(group)[0], len(rows))
-        kinds = [table.schema.field(left).type, table.schema.field(right).type, pa.float64(), pa.float64(), pa.float64(), pa.string()]
-        names = [group, left, right, "score", "rival", "confidence", "verdict"]
-        return pa.Table.from_arrays([job, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+        return [(a, *done.get(a, (None, None, None, None, "TAKEN"))) for a in of]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put_out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        job, held, rows = None, ([], [], []), []
+        for batch in batches:
+            jobs, *columns = (batch.column(x).to_pylist() for x in (group, left, right, "_s"))
+            heads = [0, *(i for i in range(1, len(jobs)) if jobs[i] != jobs[i - 1]), len(jobs)] if jobs else []
+            for i, j in zip(heads, heads[1:], strict=False):
+                if held[0] and jobs[i] != job:
+                    rows += [(job, *x) for x in decided(*held)]
+                    held = ([], [], [])
+                job = jobs[i]
+                for own, values in zip(held, columns, strict=True):
+                    own += values[i:j]
+            if rows:
+                yield put_out(rows)
+                rows = []
+        if held[0]:
+            yield put_out([(job, *x) for x in decided(*held)])
 
     given = pairs.where(F.col(score).isNotNull()).groupBy(group, left, right).agg(F.max(F.col(score).cast("double")).alias("_s"))
-    return given.groupBy(group).applyInArrow(decide, f"{group} {schema[group]}, {left} {schema[left]}, {right} {schema[right]}, score double, rival double, confidence double, verdict string")
+    dealt = given.repartition(F.col(group)).sortWithinPartitions(group, F.desc("_s"), left, right)
+    types = {x: schema[x].simpleString() for x in (group, left, right)}
+    return dealt.mapInArrow(work, f"{group} {types[group]}, {left} {types[left]}, {right} {types[right]}, score double, rival double, confidence double, verdict string")
