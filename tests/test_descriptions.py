@@ -64,3 +64,17 @@ def test_reference_lines(spark):
     assert answers(spark, rows, schema, d.reference_lines(*(F.col(n) for n in names))) == [
         "MAWB NO:160-1 HAWB:K7\nINVOICE NO:A1 DT: 24-FEB-2026\nLC NO:77, DT:24-FEB-2026", "B/L NO:HL1 B/L DATE:24-FEB-2026", "MAWB NO:160-1 HAWB:\nB/L NO:HL1\nBANK REF:9, DT:", "B/L NO:HL1", "MAWB NO:160-1 HAWB:", "",
     ]
+
+
+def test_segments_over_batches(spark):
+    """Cells of a batch come out as flat columns, each with its own pieces: empty ones, null ones and ones without an annotation as well."""
+    from tradelake.functions import segments as g
+
+    cells = ["Steel bolt Batch: 4711 6 EA", None, "", "Valve", "Lot: 7", "made in Ireland Pump COO: Viet Nam Gauze9Batch:12"]
+    x = g.with_segments(spark.createDataFrame(list(enumerate(cells)), "i int, cell string").coalesce(1), "cell", "x", ["Ireland", "Viet Nam"])
+    got = {r.i: (r.x.text, [tuple(s) for s in r.x.segments]) for r in x.collect()}
+    assert got == {i: g.segments(cell, frozenset(["ireland", "viet nam"])) for i, cell in enumerate(cells)}
+    assert got[1] == ("", []) and got[5][1][0][0] == "ANN" and [s[0] for s in got[0][1]] == ["PROSE", "ANN"]
+    # a token is an origin's only by its first word: no list of labels is gone through for each
+    assert g._origin(["Country", "of", "Origin:"], 0) == 3 and g._origin(["country", "of"], 0) == 0 and g._origin([], 0) == 0
+    assert set(g._ORIGIN_OF) == {"coo", "c.o.o", "coc", "c.o.c", "country", "made"}
